@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, licenses, packing, pieces, quality, sharding, token_files, url_filter
+from . import exact_dedup, licenses, packing, pieces, quality, sharding, substring, token_files, url_filter
 from .common import documents
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -17,6 +17,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.repeated_words(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(documents(spark, sf_dir))
     measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -54,16 +59,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op9_sentencepiece, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op9_sentencepiece, op10_sharding)}
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+ORACLES["op1_substring_dedup"] = f"""
+with w as (select doc_id, unnest(words) as x, generate_subscripts(words, 1) as i, len(words) as n from (select doc_id, {_WORDS} as words from documents)),
+     win as (select doc_id, i, x, case when i + 19 <= n then array_to_string(list(x) over (partition by doc_id order by i rows between current row and 19 following), ' ') end as t from w),
+     dup as (select doc_id, i, x, t is not null and row_number() over (partition by t order by doc_id, i) > 1 as d from win),
+     gone as (select doc_id, i, x, max(cast(d as int)) over (partition by doc_id order by i rows between 19 preceding and current row) = 1 as g from dup),
+     k as (select doc_id, count(*) as n_words, count(*) filter (g) as n_removed, coalesce(string_agg(x, ' ' order by i) filter (not g), '') as kept from gone group by doc_id)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join k using (doc_id)"""
+
 ORACLES["op2_quality_rules"] = rf"""
 with w as (select doc_id, coalesce(text, '') as text, {_WORDS} as words,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
-     win as (select doc_id, unnest(range(1, len(words) - 1)) as i, words from w),
-     grams as (select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as c from win),
+     each as (select doc_id, unnest(words) as x, generate_subscripts(words, 1) as i from w),
+     win as (select doc_id, i, x, lead(x) over t as y, lead(x, 2) over t as z from each window t as (partition by doc_id order by i)),
+     grams as (select doc_id, i, count(*) over (partition by doc_id, x, y, z) as c from win where z is not null),
      covered as (select distinct doc_id, i + unnest([0, 1, 2]) as i from grams where c > 1),
      rep as (select doc_id, count(*) as n from covered group by doc_id),
      m as (select doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
