@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, licenses, packing, pieces, quality, sharding, substring, token_files, url_filter
+from . import exact_dedup, licenses, ngram_join, packing, pieces, quality, sharding, substring, token_files, url_filter
 from .common import documents
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select(F.col("row.doc_id").alias("doc_id"), *measured, (~quality.passes("base")).alias("base_failed"), quality.passes().alias("kept"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir), size=3, percent=90)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), tokenizer(BPE), end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -59,7 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op9_sentencepiece, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op9_sentencepiece, op10_sharding)}
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -89,6 +93,18 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not (base_failed or 10 * n_symbols > word_chars or 2 * n_dup_lines > n_lines or word_chars < 2 * n_words or word_chars > 25 * n_words) as kept
 from j"""
 
+ORACLES["op3_ngram_jaccard"] = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+     each as (select doc_id, unnest(words) as x, generate_subscripts(words, 1) as i, len(words) as n from w),
+     run as (select doc_id, i, n, x, lead(x) over t as y, lead(x, 2) over t as z from each window t as (partition by doc_id order by i)),
+     sets as (select distinct doc_id, case when z is not null then x || ' ' || y || ' ' || z else x || coalesce(' ' || y, '') end as s from run where z is not null or (i = 1 and n < 3)),
+     size as (select doc_id, count(*) as n from sets group by doc_id),
+     meet as (select a.doc_id as a, b.doc_id as b, count(*) as k from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by all),
+     link as (select a, b from meet join size x on x.doc_id = a join size y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+     both_ways as (select a, b from link union all select b, a from link),
+     reach as (select doc_id, doc_id as c from documents union select r.doc_id, b.b from reach r join both_ways b on b.a = r.c)
+select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(c) as component_id from documents d join reach using (doc_id) left join size using (doc_id) group by d.doc_id"""
+
 ORACLES["op5_exact_dedup"] = """
 with d as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256 from documents)
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, text_sha256
