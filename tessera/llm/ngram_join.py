@@ -26,8 +26,8 @@ from .tokens import slices
 BATCHES = 4
 #: Bits of a shingle's hash by which it is counted, and by which sets are compared.
 COUNT_BITS, SET_BITS = 48, 56
-#: Leaders that a node is compared with in a round, and the share of nodes that a round must join to be followed by one more.
-LEADERS, WORTHWHILE = 3, 0.05
+#: Leaders that a node is compared with in a round; rounds at most, and the share of the best round's links that lets one more follow.
+LEADERS, ROUNDS, WORTHWHILE = 3, 8, 0.05
 
 
 def shingles(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -172,12 +172,9 @@ def prefixes(docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b): those whose sizes and prefixes under the hash orders agree, and then whose sets are similar."""
-    brief = sets.select("doc_id", "n", "second", "third")
-    x, y = brief.select(*(F.col(c).alias(f"{c}_a") for c in brief.columns)), brief.select(*(F.col(c).alias(f"{c}_b") for c in brief.columns))
-    near = pairs.join(x, F.col("a") == F.col("doc_id_a")).join(y, F.col("b") == F.col("doc_id_b"))
-    near = near.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
-    whole = sets.select("doc_id", "members")
-    near = near.join(whole.select(F.col("doc_id").alias("a"), F.col("members").alias("of_a")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("members").alias("of_b")), "b")
+    side = lambda k: sets.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "second", "third", "members")))
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
+    near = near.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -189,40 +186,34 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return near.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return near.select("a", "b", "members_a", "members_b").mapInArrow(run, "a long, b long")
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (doc_id, label) after links (a, b): each component's smallest label. Both are kept by checkpoints.
-
-    Labels that links connect are hooked to the smallest one beside them and chains of hooks are cut
-    short; what still connects different labels then goes round again.
-    """
+def crossing(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (x, y) of different labels that links (a, b) connect, x the larger one."""
     name = lambda c: labels.select(F.col("doc_id").alias(c), F.col("label").alias(f"label_{c}"))
-    edges = links.join(name("a"), "a").join(name("b"), "b").select(F.greatest("label_a", "label_b").alias("x"), F.least("label_a", "label_b").alias("y"))
-    edges = edges.filter("x > y").distinct().checkpoint()
-    while not edges.isEmpty():
-        roots = edges.groupBy("x").agg(F.min("y").alias("y")).checkpoint()
-        while True:
-            up = roots.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            roots = roots.join(up, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")).checkpoint()
-            if roots.filter("moved").isEmpty():
-                break
-            roots = roots.drop("moved")
-        roots = roots.drop("moved")
-        to = lambda c: roots.select(F.col("x").alias(c), F.col("y").alias(f"root_{c}"))
-        labels = labels.join(to("label"), "label", "left").select("doc_id", F.coalesce("root_label", "label").alias("label")).checkpoint()
-        edges = edges.join(to("x"), "x", "left").join(to("y"), "y", "left").select(F.coalesce("root_x", "x").alias("p"), F.coalesce("root_y", "y").alias("q"))
-        edges = edges.select(F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y")).filter("x > y").distinct().checkpoint()
-    return labels
+    edges = links.join(name("a"), "a").join(name("b"), "b")
+    return edges.select(F.greatest("label_a", "label_b").alias("x"), F.least("label_a", "label_b").alias("y")).filter("x > y")
+
+
+def hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after every label that links connect to smaller ones has gone to the smallest, and on along three more hooks."""
+    roots = crossing(labels, links).groupBy("x").agg(F.min("y").alias("y"))
+    up = roots.select(F.col("x").alias("y"), F.col("y").alias("z"))
+    for _ in range(3):
+        roots = roots.join(up, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
+    return labels.join(roots.withColumnRenamed("x", "label"), "label", "left").select("doc_id", F.coalesce("y", "label").alias("label"))
 
 
 def components(sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id and label (the smallest doc_id of its component) of the rows of prefixes()."""
-    labels = sets.select("doc_id", F.col("doc_id").alias("label")).distinct().checkpoint()
+    """doc_id and label (the smallest doc_id of its component) of the rows of prefixes().
+
+    Nodes of one label are in one component at every time; at the end those of one component have one label.
+    """
+    labels = sets.select("doc_id", F.col("doc_id").alias("label")).distinct()
     shares = sets.select("doc_id", F.explode("tokens").alias("token"))
-    turn = 0
-    while True:
+    every, most = None, 0
+    for turn in range(ROUNDS):
         own = shares.join(labels, "doc_id")
         leader = F.min_by(F.struct("doc_id", "label"), F.xxhash64("doc_id", F.lit(turn)))
         groups = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), leader.alias("leader")).filter("low < high")
@@ -231,22 +222,23 @@ def components(sets: DataFrame, percent: int) -> DataFrame:
         # a node's leaders are no more than its prefix tokens; those with which it shares most go first
         best = pairs.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), False), 1, LEADERS).alias("best"))
         links = verified(best.select("a", F.explode("best").alias("x")).select("a", "x.b"), sets, percent).checkpoint()
-        tried, found = best.count() if turn == 0 else None, links.select("a").distinct().count()
+        every, found = links if every is None else every.union(links), links.count()
         if found:
-            labels = joined(labels, links)
-        total = tried if turn == 0 else total - before
-        before, turn = found, turn + 1
-        if found <= WORTHWHILE * (total or 0):
+            labels = hooked(labels, links).checkpoint()
+        most = max(most, found)
+        if found <= WORTHWHILE * most:
             break
-    # the rest, whole: nodes of different components that share a prefix token, each pair at the first that it shares
+    # the rest, whole: nodes of different labels that share a prefix token, each pair at the first that it shares
     own = sets.select("doc_id", "n", "tokens", F.explode("tokens").alias("token")).join(labels, "doc_id")
     split = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     own = own.join(split, "token")
-    x, y = own.select("token", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "tokens", "label"))), own.select("token", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "tokens", "label")))
+    x, y = (own.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "tokens", "label"))) for k in "ab")
     first = F.array_intersect("tokens_a", "tokens_b")[0] == x["token"]
     rest = x.join(y, (x["token"] == y["token"]) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & first)
-    links = verified(rest.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), sets, percent).checkpoint()
-    return joined(labels, links)
+    every = every.union(verified(rest.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), sets, percent).checkpoint())
+    while not crossing(labels, every).isEmpty():
+        labels = hooked(labels, every).checkpoint()
+    return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
