@@ -1 +1,3 @@
+"""The queries, by family."""
 
+from . import catalog, identity  # noqa: F401
