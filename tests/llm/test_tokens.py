@@ -10,15 +10,15 @@ from tessera.llm import packing, pieces, token_files, tokens  # noqa: E402
 BPE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
     None, "", " ", "  ", "a", " a", "a ", "a  b", "\n", "a \n b", "Hello, world. It's l'été\n\n  new\tline ", "x  y", "x\u0085 y  z", "<|endoftext|> a<|endoftext|>b", "<s> </s> <unk>", "▁ ▁▁a b▁c", "é " * 500,
-    "日本語 テキスト 🙂 ok", "12 345,6 7's", "tab\t\ttab \r\n x", "a\x1c b", "　 wide", "word " * 20000, "a" * 3000, "the the the", "the the the",
+    "日本語 テキスト 🙂 ok", "12 345,6 7's", "tab\t\ttab \r\n x", "a\x1c b", "　 wide", "la.\nÉou, x\nb!?\nc", "\na", "a\n", "a\n\nb", "a\r\nb c", "a \nb", "don't. he's\n'll", "x×y. ÷a, ab×.", "word " * 20000, "a" * 3000, "the the the", "the the the",
 ]
 
 
 def rows(spark):
-    return spark.createDataFrame([(i * 3 % 26, t, 5, "b") for i, t in enumerate(TEXTS)], "doc_id long, text string, part int, ids string").repartition(5)
+    return spark.createDataFrame([(i * 3 % 34, t, 5, "b") for i, t in enumerate(TEXTS)], "doc_id long, text string, part int, ids string").repartition(5)
 
 
-TEXT = {i * 3 % 26: t for i, t in enumerate(TEXTS)}
+TEXT = {i * 3 % 34: t for i, t in enumerate(TEXTS)}
 
 
 def library_ids(text):
