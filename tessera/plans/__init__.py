@@ -1,3 +1,3 @@
 """The queries, by family."""
 
-from . import assets, catalog, extensions, grid, identity, ledger, streams, sync  # noqa: F401
+from . import assets, catalog, decisions, extensions, grid, identity, ledger, streams, sync  # noqa: F401
