@@ -65,5 +65,5 @@ def duration(seconds: Column) -> Column:
     """A rough duration to act on."""
     minutes, hours = seconds / 60, seconds / 3600
     coarse = F.when(minutes >= 10, 5 * F.bround(minutes / 5, 0)).otherwise(F.bround(minutes, 0)).cast("int")
-    long = F.when(hours < 10, F.concat(F.format_number(F.bround(hours, 1), "0.0"), F.lit(" hours"))).otherwise(F.concat(F.bround(hours, 0).cast("int").cast("string"), F.lit(" hours")))
+    long = F.when(hours < 10, F.format_string("%.1f hours", F.bround(hours, 1))).otherwise(F.concat(F.bround(hours, 0).cast("int").cast("string"), F.lit(" hours")))
     return F.when(seconds < 60, "under a minute").when(seconds < 90, "about a minute").when(minutes < 60, F.concat(coarse.cast("string"), F.lit(" min"))).otherwise(long)

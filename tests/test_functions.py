@@ -97,3 +97,34 @@ def test_names(spark):
     got = [one(spark, f(n)) for f in (names.bare_title, names.region, names.languages, names.version, names.revision, names.disc, names.verified, names.year, names.release_type)]
     assert got == ["Foo Bar", "Europe", "En,Fr", "v1.1", "Rev A", "Disc 2", True, 2001, None]
     assert one(spark, names.release_type(F.lit("X (Hack)"))) == "Hack" and one(spark, names.path_type(F.lit("a/4 Homebrew/x"))) == "Homebrew"
+
+
+def test_paths(spark):
+    from tessera.functions import paths
+
+    f = lambda c: one(spark, c)
+    assert [f(paths.ending(F.lit(x))) for x in ("a/b.ZIP", "a.b/c", "x")] == ["zip", "", ""]
+    assert [f(paths.safe_ending(F.lit(x))) for x in ("PNG?x=1", "host/grid/abc", ".webp", "exe", "")] == ["png", "jpg", "webp", "jpg", "jpg"]
+    kinds = {}
+    for x in ("10p.png", "10.jpg", "10_hero.png", "10_icon.ico", "x.png"):
+        appid, kind = paths.grid_asset(F.lit(x))
+        kinds[x] = (f(appid), f(kind))
+    assert kinds == {"10p.png": ("10", "cover"), "10.jpg": ("10", "header"), "10_hero.png": ("10", "hero"), "10_icon.ico": ("10", "icon"), "x.png": (None, None)}
+    assert f(paths.container_members(F.lit('FILE "a b.bin" BINARY\n  TRACK 01\nFILE "c.bin" BINARY'))) == ["a b.bin", "c.bin"]
+    assert f(paths.container_members(F.lit("#EXTM3U\nDisc 1.chd\nDisc 2.chd\n"))) == ["Disc 1.chd", "Disc 2.chd"]
+    assert f(paths.rendered("{s}/{none}/{g}.{e}", {"s": F.lit("snes"), "none": F.lit(None).cast("string"), "g": F.lit(" A/B. "), "e": F.lit("sfc")})) == "snes/A-B.sfc"
+    assert f(paths.file_title(F.lit("What's: up? "))) == "What_s_ up_"
+    assert f(paths.guid(F.lit("doom"))) == f(paths.guid(F.lit("doom"))) != f(paths.guid(F.lit("doom 2"))) and len(f(paths.guid(F.lit("x")))) == 36
+    assert [f(paths.duration(F.lit(s))) for s in (5, 70, 240, 1500, 5400, 90000)] == ["under a minute", "about a minute", "4 min", "25 min", "1.5 hours", "25 hours"]
+
+
+def test_games_of_files(spark):
+    from tessera.operators.grouping import games
+
+    files = {
+        1: "psx/Foo/Disc 1.chd", 2: "psx/Foo/Disc 2.chd", 3: "psx/Foo/cover.txt", 4: "gba/All/A (USA).gba", 5: "gba/All/B.gba", 6: "gba/All/C.gba", 7: "gba/All/readme.txt", 8: "gba/All/Deep Game/x.bin",
+        9: "gba/Archive/Loose (Europe).zip", 10: "psp/Game (USA)/data/eboot.bin", 11: "gba/notes.txt",
+    }
+    rows = spark.createDataFrame([(i, p.split("/")[0], p) for i, p in files.items()], "id long, system string, path string")
+    got = {r.id: r.game for r in games(rows, ["gba", "zip", "chd", "bin"]).collect()}
+    assert got == {1: "Foo", 2: "Foo", 3: "Foo", 4: "A", 5: "B", 6: "C", 7: "", 8: "Deep Game", 9: "Loose", 10: "Game", 11: ""}
