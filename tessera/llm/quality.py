@@ -56,7 +56,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumn("equal", F.expr("filter(zip_with(before, after, (a, b) -> case when a.h = b.h then array(a.i, b.i) end), x -> x is not null)")).drop("paired", "before", "after")
     rows = rows.withColumn("places", F.expr("sort_array(array_distinct(flatten(equal)))")).drop("equal")
     covered = F.expr("case when places is null then 0L else 3L + aggregate(zip_with(slice(places, 2, size(places)), slice(places, 1, size(places) - 1), (b, a) -> least(3, b - a)), 0L, (s, x) -> s + x) end")
-    return rows.select("row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"))
+    measured = F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"))
+    # out of a generator, so that a filter on measurements stays above it: pushed below, it would measure each text again for every rule
+    return rows.select("row", F.inline(F.array(measured)))
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
