@@ -1,15 +1,17 @@
 """Token ids of whole texts through the tokenizers library, word by word.
 
-Words are cut before a space that follows no white space: no token and no look-ahead of a byte-level
-BPE's pattern crosses such a cut, so a text's ids are its words' ids in a row. Each Python worker keeps
-the ids of the words it has met (WORDS at most, then it begins anew) and asks the library for new ones only.
+Words are cut before a space that follows no white space, around a single line end, and between letters
+and the marks behind them: no token and no look-ahead of a byte-level BPE's pattern crosses such a cut, so
+a text's ids are its words' ids in a row. Each Python worker keeps the ids of the words it has met (WORDS
+at most, then it begins anew) and asks the library for new ones only.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,15 @@ from pyspark.sql import DataFrame
 
 from .common import id_text
 
-#: Words whose ids a worker keeps, about 250 bytes each.
-WORDS = 600_000
+#: Words whose ids a worker keeps, about 220 bytes each.
+WORDS = 1_500_000
 #: Rows that are encoded at a time.
 SLICE = 256
-_ODD = re.compile(r"\s ")
+#: White space other than single spaces and line ends between words.
+_OTHER = re.compile(r"[\t\r\v\f\0\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+#: Letters, and behind them marks; without the apostrophe, which begins tokens of its own kind.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _encoders: dict[str, WordEncoder] = {}
 
@@ -35,24 +41,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(path), words
-        self.first: dict[str, bytes] = {}  # words that begin a text
-        self.after: dict[str, bytes] = {}  # words behind a space, without it
-
-    def _learn(self, known: dict[str, bytes], words: set[str], space: str) -> None:
-        new = [w for w in words if w not in known]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([space + w for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        self.known: dict[str, bytes] = {}  # by word; "\n" and a word for one that begins a line, " " and a word for one that begins the text
+        self.pieces: dict[str, bytes] = {}  # of texts with white space in a row, by what stands between cuts
+        self.marks: dict[str, bytes] = {"": b""}
+        self.line_end = self._ids(["\n"])["\n"]
+
+    def _ids(self, strings: list[str], keys: Iterable[str] | None = None) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        return {w: array("I", e.ids).tobytes() for w, e in zip(keys or strings, found, strict=True)}
+
+    def _learn(self, new: set[str]) -> None:
+        plan = []
+        for w in new:
+            begins = w[:1] in (" ", "\n")
+            body, tail = w[1:] if begins else w, ""
+            if m := _MARKED.fullmatch(body):
+                body, tail = m.groups()
+            plan.append((w, self.line_end if w[:1] == "\n" else b"", " " + body if begins else body, tail))
+        # known also holds the words without their marks, and those that begin something
+        bare = {s for _, _, s, _ in plan}.difference(self.known)
+        self.known |= self._ids([s[1:] if s[:1] == " " else " " + s for s in bare], bare)
+        self.marks |= self._ids([t for t in {t for _, _, _, t in plan} if t not in self.marks])
+        for w, lead, s, tail in plan:
+            if lead or tail:
+                self.known[w] = lead + self.known[s] + self.marks[tail]
+
+    def _by_piece(self, text: str) -> bytes:
+        cut = _CUT.split(text)
+        self.pieces |= self._ids([p for p in set(cut) if p not in self.pieces])
+        return b"".join(map(self.pieces.__getitem__, cut))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.after) > self.words:
-            self.first, self.after = {}, {}
-        cut = [[p if k == 0 else p[1:] for k, p in enumerate(_CUT.split(t))] if _ODD.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {c[0] for c in cut}, "")
-        self._learn(self.after, {w for c in cut for w in c[1:]}, " ")
-        first, after = self.first, self.after.__getitem__
-        return [first[c[0]] + b"".join(map(after, c[1:])) for c in cut]
+        if len(self.known) + len(self.pieces) + len(self.marks) > self.words:
+            self.known, self.pieces, self.marks = {}, {}, {"": b""}
+        cut = [(" " + t.replace("\n", "\0\n").replace(" ", "\0")).split("\0") if _plain(t) else None for t in texts]
+        self._learn(set().union(*(c for c in cut if c is not None)).difference(self.known))
+        known = self.known.__getitem__
+        return [self._by_piece(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut, strict=True)]
+
+
+def _plain(text: str) -> bool:
+    """Whether words are parted by single spaces and line ends only."""
+    return not (text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(r in text for r in _RUNS) or _OTHER.search(text))
 
 
 def encoder(path: str) -> WordEncoder:
