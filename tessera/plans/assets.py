@@ -17,7 +17,10 @@ _MEDIA_SQL = """media0 as (select row_number() over (order by l_orderkey, l_line
     case when l_tax = 0.08 then 1 when l_tax = 0.07 then 0 end as filler, cast(round(l_discount * 100) as int) as detail, case when l_orderkey % 97 = 0 then 1 end as pin, case when l_discount > 0.05 then l_partkey * 13 % 300 end as frame,
     ['us', 'eu', 'jp', ''][l_orderkey % 4 + 1] as region, l_linestatus = 'O' as matched from lineitem join part on l_partkey = p_partkey),
   media as (select *, case region when 'us' then 0 when 'eu' then 1 when '' then 2 else 3 end as region_rank from media0)"""
-_RANK = F.array_position(F.array(F.lit("N"), F.lit("A"), F.lit("R")), F.col("provider"))
+
+
+def provider_rank():
+    return F.array_position(F.array(F.lit("N"), F.lit("A"), F.lit("R")), F.col("provider"))
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ _ELECT_SQL = f"""{_MEDIA_SQL}, tpl as (select frame, count(distinct norm_key) as
 @query(f"with {_ELECT_SQL} select norm_key, system, kind, id, provider from rk where place = 1")
 def asset_election(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media(spark, sf_dir)
-    return E.elected(m, _RANK, E.templates(m)).select("norm_key", "system", "kind", "id", "provider")
+    return E.elected(m, provider_rank(), E.templates(m)).select("norm_key", "system", "kind", "id", "provider")
 
 
 @query(f"with {_ELECT_SQL} select frame, titles from tpl")
@@ -72,7 +75,7 @@ select w.norm_key, w.system, w.kind, w.id, coalesce(w.system <> '' and w.pin is
 from w left join n using (norm_key, kind)""")
 def offlang_standdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media(spark, sf_dir)
-    w = E.elected(m, _RANK, E.templates(m))
+    w = E.elected(m, provider_rank(), E.templates(m))
     n = w.filter("system = ''").select("norm_key", "kind", F.col("id").alias("neutral"), F.col("region").alias("other"))
     yields = F.coalesce((F.col("system") != "") & F.col("pin").isNull() & (F.col("region") == "jp") & F.col("other").isin("us", "eu"), F.lit(False))
     rows = w.join(n, ["norm_key", "kind"], "left").withColumn("yields", yields)
@@ -82,7 +85,7 @@ def offlang_standdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_ELECT_SQL} select norm_key, kind, coalesce(min(id) filter (place = 1 and system = 'PROMO'), min(id) filter (place = 1 and system = ''), min(id)) as id from rk group by all""")
 def serve_pick_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media(spark, sf_dir)
-    rows = E.ranked(m, _RANK, E.templates(m))
+    rows = E.ranked(m, provider_rank(), E.templates(m))
     tier = lambda c: F.min(F.when(c, F.col("id")))
     first = F.col("place") == 1
     return rows.groupBy("norm_key", "kind").agg(F.coalesce(tier(first & (F.col("system") == "PROMO")), tier(first & (F.col("system") == "")), F.min("id")).alias("id"))
@@ -92,7 +95,7 @@ def serve_pick_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plural_display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media(spark, sf_dir)
     m = m.filter(M.shape_ok(F.col("kind"), F.col("width"), F.col("height")) & F.col("kind").isin("fanart", "hero") & (F.col("detail") > 7))
-    order = [M.resolution_band(F.col("kind"), F.col("width"), F.col("height")), _RANK, -F.coalesce(F.col("width") * F.col("height"), F.lit(0)), F.col("id")]
+    order = [M.resolution_band(F.col("kind"), F.col("width"), F.col("height")), provider_rank(), -F.coalesce(F.col("width") * F.col("height"), F.lit(0)), F.col("id")]
     return m.select("norm_key", "kind", "id", F.row_number().over(Window.partitionBy("norm_key", "kind").orderBy(*order)).alias("shown_at"))
 
 

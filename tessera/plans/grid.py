@@ -19,20 +19,23 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumns({"card": F.substring_index("norm_key", " ", 2), "score": F.col("n_sources") * 7 % 101, "has_cover": F.col("platform").isin("pc", "snes") & (F.col("n_sources") > 5)})
 
 
-_BEST = [F.col("has_cover").desc(), F.col("score").desc(), F.col("n_sources").desc(), F.col("platform"), F.col("norm_key")]
+def best():
+    return [F.col("has_cover").desc(), F.col("score").desc(), F.col("n_sources").desc(), F.col("platform"), F.col("norm_key")]
+
+
 _CARDS_SQL = f"""{_ENTRIES_SQL}, c as (select card, title, norm_key, platform, score, row_number() over (partition by card order by has_cover desc, score desc, n_sources desc, platform, norm_key) as k,
   array_to_string(list_sort(list_distinct(list(platform) over (partition by card))), ',') as platforms, cast(sum(n_sources) over (partition by card) as bigint) as card_sources, count(*) over (partition by card) as n_entries from e)"""
 
 
 @query(f"with {_CARDS_SQL} select card, title, platform, score, platforms, card_sources, n_entries from c where k = 1 order by lower(title), card limit 20")
 def card_grid_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.cards(entries(spark, sf_dir), "card", _BEST, ["title", "platform", "score"])
+    rows = S.cards(entries(spark, sf_dir), "card", best(), ["title", "platform", "score"])
     return S.page(rows, [F.lower("title"), F.col("card")], 20)
 
 
 @query(f"with {_CARDS_SQL} select card, title, n_entries from c where k = 1 order by card_sources desc, card limit 10 offset 5")
 def paging_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.cards(entries(spark, sf_dir), "card", _BEST, ["title"])
+    rows = S.cards(entries(spark, sf_dir), "card", best(), ["title"])
     return S.page(rows, [F.col("card_sources").desc(), F.col("card")], 10, 5).select("card", "title", "n_entries")
 
 
