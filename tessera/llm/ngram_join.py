@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashing as H
-from .common import id_text, partitions, shared_dir, staged
+from .common import id_text, let_go, partitions, shared_dir, staged
 from .tokens import slices
 
 BATCHES = 4
 #: Bits of a shingle's hash by which it is counted, and by which sets are compared.
 COUNT_BITS, SET_BITS = 48, 56
 #: Leaders that a node is compared with in a round; rounds at most, and the share of the best round's links that lets one more follow.
-LEADERS, ROUNDS, WORTHWHILE = 3, 8, 0.05
+LEADERS, ROUNDS, WORTHWHILE = 2, 8, 0.05
 
 
 def shingles(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -83,10 +83,10 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
 
 
 def prefixes(docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The nodes with a prefix token that another node has: doc_id, n, tokens, second, third, members.
+    """The nodes with a prefix token that another node has: doc_id, n, tokens, places, second, third, members.
 
-    tokens: of the prefix by frequency, those of two nodes or more, rare first; second, third: the
-    prefixes under two orders by hash; members: the set, packed.
+    tokens: of the prefix by frequency, those of two nodes or more, rare first, and their places in it;
+    second, third: the prefixes under two orders by hash; members: the set, packed.
     """
     parts = partitions(docs.sparkSession)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES * parts)).cast("int").alias("batch")
@@ -133,7 +133,7 @@ def prefixes(docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col:
 
     def cut(table: pa.Table, side: pa.Table) -> pa.Table:
         """Second pass: the prefixes."""
-        out = {k: [] for k in ("doc_id", "n", "tokens", "second", "third", "members")}
+        out = {k: [] for k in ("doc_id", "n", "tokens", "places", "second", "third", "members")}
         if table.num_rows and side.num_rows:
             rows = [(h, c) for h, c in zip(side.column("hashes").to_pylist(), side.column("counts").to_pylist(), strict=True) if h is not None]
             known = np.concatenate([np.zeros(0, "u8"), *(H.unpack_sorted(h) for h, _ in rows)])
@@ -147,34 +147,38 @@ def prefixes(docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col:
                 df = np.where(known[at] == short, times[at], np.uint64(1))
                 length = sizes - (percent * sizes + 99) // 100 + 1
                 starts = np.cumsum(sizes) - sizes
-                place = np.arange(len(doc)) - starts[doc] < length[doc]  # rows of a text stand together in any order of theirs
+                place = np.arange(len(doc)) - starts[doc]  # rows of a text stand together in any order of theirs
                 order = np.lexsort((values, df, doc))
-                token = place & (df[order] > 1)
-                tokens, owner = values[order][token].view("i8"), doc[token]
+                token = (place < length[doc]) & (df[order] > 1)
+                tokens, places, owner = values[order][token].view("i8"), place[token], doc[token]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
-                others = []
-                for seed in (21, 22):
-                    mixed = H.mix(values, seed)
-                    others.append((mixed[np.lexsort((mixed, doc))] >> np.uint64(32)).astype("u4").view("i4"))
+                second, third = (m[np.lexsort((m, doc))] for m in (H.mix(values, 21), H.mix(values, 22)))
+                second, third = second.view("i8"), (third >> np.uint64(32)).astype("u4").view("i4")
                 for d in np.flatnonzero(np.diff(ends)):
                     a, p = starts[d], length[d]
-                    out["doc_id"].append(ids[first + d]), out["n"].append(sizes[d]), out["tokens"].append(tokens[ends[d] : ends[d + 1]])
-                    out["second"].append(others[0][a : a + p]), out["third"].append(others[1][a : a + p])
+                    out["doc_id"].append(ids[first + d]), out["n"].append(sizes[d]), out["tokens"].append(tokens[ends[d] : ends[d + 1]]), out["places"].append(places[ends[d] : ends[d + 1]])
+                    out["second"].append(second[a : a + p]), out["third"].append(third[a : a + p])
                     out["members"].append(H.pack_sorted(values[a : a + sizes[d]] >> set_shift))
-        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "tokens": pa.list_(pa.int64()), "second": pa.list_(pa.int32()), "third": pa.list_(pa.int32()), "members": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "second": pa.list_(pa.int64()), "third": pa.list_(pa.int32()), "members": pa.binary()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     counted = dealt.cogroup(listed.groupBy("batch")).applyInArrow(count, "part int, batch int, hashes binary, counts binary")
     totals = counted.groupBy("part").applyInArrow(total, "batch int, hashes binary, counts binary")
     side = totals.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(listed.select("batch", none("hashes"), none("counts"), "ids"))
-    return dealt.cogroup(side.groupBy("batch")).applyInArrow(cut, "doc_id long, n long, tokens array<long>, second array<int>, third array<int>, members binary")
+    return dealt.cogroup(side.groupBy("batch")).applyInArrow(cut, "doc_id long, n long, tokens array<long>, places array<int>, second array<long>, third array<int>, members binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b): those whose sizes and prefixes under the hash orders agree, and then whose sets are similar."""
-    side = lambda k: sets.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "second", "third", "members")))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    part = lambda k, *columns: sets.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in columns))
+    brief = ("n", "second", "third")
+    near = pairs.join(part("a", *brief), "a").join(part("b", *brief), "b")
+    # of a prefix of L tokens at most n - (least intersection) are not in the other set; the rest is in the other's
+    # prefix too, for the side whose prefix ends first
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    shared = F.least(F.size("second_a") - F.col("n_a"), F.size("second_b") - F.col("n_b")) + least
+    near = near.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.size(F.array_intersect("second_a", "second_b")) >= shared) & F.arrays_overlap("third_a", "third_b"))
+    near = near.select("a", "b").join(part("a", "members"), "a").join(part("b", "members"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -211,11 +215,14 @@ def components(sets: DataFrame, percent: int) -> DataFrame:
     Nodes of one label are in one component at every time; at the end those of one component have one label.
     """
     labels = sets.select("doc_id", F.col("doc_id").alias("label")).distinct()
-    shares = sets.select("doc_id", F.explode("tokens").alias("token"))
+    # a node whose prefix has few tokens of its own alone is near the middle of what it is like
+    own_only = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.size("tokens")
+    shares = sets.select("doc_id", own_only.alias("lone"), F.explode("tokens").alias("token"))
     every, most = None, 0
     for turn in range(ROUNDS):
         own = shares.join(labels, "doc_id")
-        leader = F.min_by(F.struct("doc_id", "label"), F.xxhash64("doc_id", F.lit(turn)))
+        chance = F.xxhash64("doc_id", F.lit(turn))
+        leader = F.min_by(F.struct("doc_id", "label"), F.struct("lone", chance) if turn % 2 == 0 else F.struct(chance))
         groups = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), leader.alias("leader")).filter("low < high")
         apart = own.join(groups.select("token", F.col("leader.doc_id").alias("b"), F.col("leader.label").alias("other")), "token").filter("label <> other")
         pairs = apart.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
@@ -226,15 +233,17 @@ def components(sets: DataFrame, percent: int) -> DataFrame:
         if found:
             labels = hooked(labels, links).checkpoint()
         most = max(most, found)
-        if found <= WORTHWHILE * most:
+        if turn and found <= WORTHWHILE * most:
             break
-    # the rest, whole: nodes of different labels that share a prefix token, each pair at the first that it shares
-    own = sets.select("doc_id", "n", "tokens", F.explode("tokens").alias("token")).join(labels, "doc_id")
+    # the rest, whole: nodes of different labels that share a prefix token, each pair at the first that it shares.
+    # What stands before that token in either prefix is not in the other set, which bounds the intersection
+    own = sets.select("doc_id", "n", "tokens", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("doc_id", "n", "tokens", F.col("t.tokens").alias("token"), F.col("t.places").alias("place")).join(labels, "doc_id")
     split = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     own = own.join(split, "token")
-    x, y = (own.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "tokens", "label"))) for k in "ab")
+    x, y = (own.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "tokens", "place", "label"))) for k in "ab")
+    bound = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     first = F.array_intersect("tokens_a", "tokens_b")[0] == x["token"]
-    rest = x.join(y, (x["token"] == y["token"]) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & first)
+    rest = x.join(y, (x["token"] == y["token"]) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & bound & first)
     every = every.union(verified(rest.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), sets, percent).checkpoint())
     while not crossing(labels, every).isEmpty():
         labels = hooked(labels, every).checkpoint()
@@ -254,6 +263,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     real = signed.filter("n > 0 and doc_id is not null")
     nodes = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     sets = staged(prefixes(docs, nodes.select(F.col("node").alias("doc_id")), size, percent, id_col, text_col), "prefixes")
+    let_go(docs.sparkSession)
     labels = components(sets, percent).select(F.col("doc_id").alias("node"), "label")
     labelled = nodes.join(labels, "node", "left").select("n", "s1", "s2", F.coalesce("label", "node").alias("component_id"))
     found = real.join(labelled, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
