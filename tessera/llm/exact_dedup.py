@@ -15,6 +15,8 @@ from .common import ascii_lower
 SLOTS_PER_ROW = 32
 #: A filter of at most so many 64-bit words is broadcast (16 bytes a row of it); a larger one is joined by shuffle.
 BROADCAST_WORDS = 2_000_000
+#: Tasks that a group of copies is dealt to at least.
+SALTS = 16
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, broadcast_words: int) -> DataFrame:
@@ -50,7 +52,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = judged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), _digest().alias("text_sha256"))
     maybe = judged.filter("maybe").select("doc_id", _digest().alias("text_sha256"))
     groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    grouped = maybe.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # a group's row is sent in SALTS copies, so that its documents are dealt to as many tasks, and AQE may split those
+    salted = maybe.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    grouped = salted.join(groups, ["text_sha256", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(grouped)
 
 
