@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -52,9 +53,14 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage.
+
+    Twice, as the JVM hears of what Python has let go only with the next call.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ BATCHES = 4
 #: Bits of a shingle's hash by which it is counted, and by which sets are compared.
 COUNT_BITS, SET_BITS = 48, 56
 #: Leaders that a node is compared with in a round; rounds at most, and the share of the best round's links that lets one more follow.
-LEADERS, ROUNDS, WORTHWHILE = 2, 8, 0.05
+LEADERS, ROUNDS, WORTHWHILE = 2, 4, 0.1
 
 
 def shingles(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -233,6 +233,7 @@ def components(sets: DataFrame, percent: int) -> DataFrame:
         if found:
             labels = hooked(labels, links).checkpoint()
         most = max(most, found)
+        let_go(sets.sparkSession)
         if turn and found <= WORTHWHILE * most:
             break
     # the rest, whole: nodes of different labels that share a prefix token, each pair at the first that it shares.
