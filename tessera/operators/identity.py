@@ -56,3 +56,14 @@ def guard_collisions(wanted: DataFrame, key: str, value: str, order: Column) ->
 def mint(rows: DataFrame, known: DataFrame, key: str, base: int) -> DataFrame:
     """Rows that a known key covers take its identity; others get base + their own id."""
     return rows.join(known, key, "left").select("id", key, F.coalesce("identity_id", F.col("id") + F.lit(base)).alias("identity_id"), F.col("identity_id").isNull().alias("minted"))
+
+
+def fits_of_entry(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """asked (id, entry, platform) with fits, one and gen: how many candidates of the entry are on the platform, the smallest of them, the entry's smallest gen.
+
+    candidates: cand, entry, platform, gen. They are counted before the join, so a row is asked once and meets no list. Entries without any: no row.
+    """
+    rows = candidates.distinct()
+    on = rows.groupBy("entry", "platform").agg(F.count(F.lit(1)).alias("fits"), F.min("cand").alias("one"))
+    known = rows.groupBy("entry").agg(F.min("gen").alias("gen"))
+    return asked.join(known, "entry").join(on, ["entry", "platform"], "left").select("id", F.coalesce("fits", F.lit(0)).alias("fits"), "one", "gen")

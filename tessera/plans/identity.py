@@ -165,6 +165,18 @@ def per_entry_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", kind.alias("kind"), F.when(F.col("fits") == 1, F.col("one")).alias("identity_id"))
 
 
+@query("""with e as (select o_orderkey as id, o_custkey % 9 as entry, o_orderpriority as platform from orders), fit as (select e.id, count(*) filter (c.platform = e.platform) as fits, min(c.cand) filter (c.platform = e.platform) as one, min(c.gen) as gen, any_value(e.id % 6) as own
+from e join (select distinct s_suppkey as cand, s_nationkey % 9 as entry, ['1-URGENT', '2-HIGH', '3-MEDIUM'][s_suppkey % 3 + 1] as platform, s_suppkey % 5 as gen from supplier) c using (entry) group by e.id)
+select id, case when fits = 1 then 'unique' when fits > 1 then 'ambiguous' when own < gen then 'none_impossible' else 'none_uncertain' end as kind, case when fits = 1 then one end as identity_id from fit""")
+def per_entry_resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As per_entry_resolve, for every order."""
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9).alias("entry"), F.col("o_orderpriority").alias("platform"))
+    on = A.pick(["1-URGENT", "2-HIGH", "3-MEDIUM"], "cast(s_suppkey % 3 as int)")
+    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cand"), (F.col("s_nationkey") % 9).cast("long").alias("entry"), on.alias("platform"), (F.col("s_suppkey") % 5).alias("gen"))
+    kind = F.when(F.col("fits") == 1, "unique").when(F.col("fits") > 1, "ambiguous").when(F.col("id") % 6 < F.col("gen"), "none_impossible").otherwise("none_uncertain")
+    return I.fits_of_entry(e, c).select("id", kind.alias("kind"), F.when(F.col("fits") == 1, F.col("one")).alias("identity_id"))
+
+
 @query("select p_partkey, p_brand from part p where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 48) or p_size > 45")
 def exists_or_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("hit")).distinct()
