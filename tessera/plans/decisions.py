@@ -96,13 +96,25 @@ def cover_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.covered(e, a, p.filter("p_partkey % 300 = 7").select(F.col("p_name").alias("norm_key")))
 
 
+def _learn(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    o = orders.select(F.col("o_orderkey").alias("find"), F.explode(F.create_map(F.lit("cust"), F.col("o_custkey").cast("string"), F.lit("day"), F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("ns", "val"))
+    k = customers.filter("c_custkey % 4 = 0").select(F.lit("cust").alias("ns"), F.col("c_custkey").cast("string").alias("val"), F.col("c_custkey").alias("identity_id"))
+    return D.learned(o, k, 900_000)
+
+
 @query("""with p as (select o_orderkey as find, 'cust' as ns, cast(o_custkey as varchar) as val from orders where o_orderkey < 3000 union all select o_orderkey, 'day', strftime(o_orderdate, '%Y-%m-%d') from orders where o_orderkey < 3000),
 k as (select 'cust' as ns, cast(c_custkey as varchar) as val, c_custkey as i from customer where c_custkey % 4 = 0), h as (select find, min(i) as hit from p left join k using (ns, val) group by 1)
 select find, ns, val, coalesce(hit, find + 900000) as identity_id, hit is null as minted from p join h using (find)""")
 def learn_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 3000").select(F.col("o_orderkey").alias("find"), F.explode(F.create_map(F.lit("cust"), F.col("o_custkey").cast("string"), F.lit("day"), F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("ns", "val"))
-    k = table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select(F.lit("cust").alias("ns"), F.col("c_custkey").cast("string").alias("val"), F.col("c_custkey").alias("identity_id"))
-    return D.learned(o, k, 900_000)
+    return _learn(table(spark, sf_dir, "orders").filter("o_orderkey < 3000"), table(spark, sf_dir, "customer"))
+
+
+@query("""with p as (select o_orderkey as find, 'cust' as ns, cast(o_custkey as varchar) as val from orders union all select o_orderkey, 'day', strftime(o_orderdate, '%Y-%m-%d') from orders),
+k as (select 'cust' as ns, cast(c_custkey as varchar) as val, c_custkey as i from customer where c_custkey % 4 = 0), h as (select find, min(i) as hit from p left join k using (ns, val) group by 1)
+select find, ns, val, coalesce(hit, find + 900000) as identity_id, hit is null as minted from p join h using (find)""")
+def learn_identities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As learn_identities, from every order."""
+    return _learn(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
 
 
 @query("""with v as (select o_orderkey as id, ['unique', 'ambiguous', 'none_uncertain'][o_orderkey % 3 + 1] as kind, o_custkey as primary_id, (o_orderkey % 11) / 10.0::double as conf, o_orderkey % 5 = 0 as same, o_orderkey % 7 = 0 as det, case when o_orderkey % 2 = 0 then o_orderkey * 10 end as other from orders),

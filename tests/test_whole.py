@@ -28,3 +28,9 @@ def test_per_entry_resolve_judges_every_order(spark):
     entries = {r[0] for r in table(spark, SF, "supplier").select(F.col("s_nationkey") % 9).collect()}
     orders = {r[0] for r in table(spark, SF, "orders").select("o_orderkey", F.col("o_custkey") % 9).collect() if r[1] in entries}
     assert ids(QUERIES["per_entry_resolve_all"](spark, SF), "id") == orders
+
+
+def test_learn_identities_learns_from_every_order(spark):
+    got = QUERIES["learn_identities_all"](spark, SF)
+    assert got.count() == 2 * table(spark, SF, "orders").count()
+    assert ids(got, "find") == ids(table(spark, SF, "orders"), "o_orderkey")
