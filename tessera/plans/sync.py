@@ -100,6 +100,14 @@ def bundle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("o_orderkey", F.explode("members").alias("member"), F.lit(True).alias("owned"))
 
 
+@query("""select o_orderkey, member, o_custkey = owner as owned from (select o_orderkey, o_custkey, unnest(list_distinct(list_sort(list(l_partkey % 50)))) as member, any_value(o_custkey) as owner from orders join lineitem on l_orderkey = o_orderkey group by 1, 2)""")
+def bundle_members_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bundle_members, of every order."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    b = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_custkey").agg(F.sort_array(F.collect_set(F.col("l_partkey") % 50)).alias("members"))
+    return b.select("o_orderkey", F.explode("members").alias("member"), F.lit(True).alias("owned"))
+
+
 @query("""select p_partkey as member, count(distinct o_orderkey) as collections, min(o_orderkey) as first from part join lineitem on l_partkey = p_partkey join orders on o_orderkey = l_orderkey and o_orderstatus = 'F' group by 1""")
 def collection_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), table(spark, sf_dir, "lineitem")
@@ -116,6 +124,18 @@ def materialize_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("coll", "part", F.when(F.col("owned"), "standalone").when(F.col("wished"), "satisfied").otherwise("created").alias("status"), F.when(F.col("owned").isNull(), F.concat(F.lit("via:"), F.col("coll").cast("string"))).alias("via"))
 
 
+@query("""with x as (select l_orderkey as coll, l_partkey as part, o_orderstatus as role from lineitem join orders on o_orderkey = l_orderkey), m as (select distinct coll, part from x where role = 'F'),
+f as (select m.*, exists (select 1 from x where x.part = m.part and x.role = 'O') as owned, exists (select 1 from x where x.part = m.part and x.role = 'P') as wished from m)
+select coll, part, case when owned then 'standalone' when wished then 'satisfied' else 'created' end as status, case when not owned then 'via:' || coll end as via from f""")
+def materialize_members_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As materialize_members, with a role for every order: collection (F), owned (O) or wished (P)."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("coll"), F.col("l_partkey").alias("part"), F.col("o_orderstatus").alias("role"))
+    flags = x.groupBy("part").agg(F.max(F.col("role") == "O").alias("owned"), F.max(F.col("role") == "P").alias("wished"))
+    rows = x.filter("role = 'F'").select("coll", "part").distinct().join(flags, "part")
+    return rows.select("coll", "part", F.when(F.col("owned"), "standalone").when(F.col("wished"), "satisfied").otherwise("created").alias("status"), F.when(~F.col("owned"), F.concat(F.lit("via:"), F.col("coll").cast("string"))).alias("via"))
+
+
 @query("select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) <= 3 as kept from customer")
 def keep_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey")

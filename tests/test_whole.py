@@ -34,3 +34,15 @@ def test_learn_identities_learns_from_every_order(spark):
     got = QUERIES["learn_identities_all"](spark, SF)
     assert got.count() == 2 * table(spark, SF, "orders").count()
     assert ids(got, "find") == ids(table(spark, SF, "orders"), "o_orderkey")
+
+
+def test_bundle_members_expands_every_order(spark):
+    assert ids(QUERIES["bundle_members_all"](spark, SF), "o_orderkey") == ids(table(spark, SF, "orders").join(table(spark, SF, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")), "o_orderkey")
+
+
+def test_materialize_members_gives_every_order_a_role(spark):
+    lines = table(spark, SF, "lineitem").join(table(spark, SF, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_partkey", "o_orderstatus").collect()
+    assert {r.o_orderstatus for r in lines} == set("FOP")
+    owned, wished = ({r.l_partkey for r in lines if r.o_orderstatus == s} for s in "OP")
+    want = {(r.l_orderkey, r.l_partkey): "standalone" if r.l_partkey in owned else "satisfied" if r.l_partkey in wished else "created" for r in lines if r.o_orderstatus == "F"}
+    assert {(r.coll, r.part): r.status for r in QUERIES["materialize_members_all"](spark, SF).collect()} == want
