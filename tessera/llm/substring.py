@@ -211,8 +211,8 @@ def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, as_was: b
             p, q = places[by], places[by][head]  # a window, and the first equal one in the batch
             apart = (ids[doc[p]] != ids[doc[q]]) | (p - firsts[doc[p]] != q - firsts[doc[q]]) if len(by) else np.zeros(0, bool)
             gone = np.zeros(word + 1, "i4")
-            starts = np.union1d(later, p[apart])
-            # rows of one id: what holds for a place of the first row holds for the others
+            # only the first equal window of a batch came back: the others in its batch, of rows of one id too, are later as well
+            starts = np.union1d(later, p[apart | np.isin(q, later)])
             np.add.at(gone, starts, 1), np.add.at(gone, starts + window, -1)
             keep = np.cumsum(gone)[:-1] == 0
             for k, t in enumerate(texts):

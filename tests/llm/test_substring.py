@@ -72,3 +72,17 @@ def test_runs_tell_runs_apart(length):
         for place in np.flatnonzero(hashing.starts_within(counts, length)):
             key = b" ".join(texts[place // 50].split()[place % 50 : place % 50 + length])
             assert by.setdefault((which, key), runs[place]) == runs[place] and back.setdefault((which, runs[place]), key) == key
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 5, 8])
+def test_rows_of_one_id_behind_an_earlier_document(spark, parts):
+    text = " ".join(map(str, range(25)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for first in range(3):
+            rows = spark.createDataFrame([(first, text), (5, text), (5, text), (5, text), (None, text), (None, text), (5, "x " + text)], "doc_id long, text string")
+            got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.repeated_words(rows).collect())
+            assert got == [(-1, 25, 25, "")] * 2 + [(first, 25, 0, text)] + [(5, 25, 25, "")] * 3 + [(5, 26, 25, "x")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
