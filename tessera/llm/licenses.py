@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import ascii_lower, id_text
 
@@ -77,8 +77,60 @@ def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Seque
     text. A licence is found when one of its rules fits; known sentences that complete no rule leave
     `licenses` empty.
     """
-    found = licence_sentences(docs, sentences, id_col, text_col).distinct()
+    return _judged(licence_sentences(docs, sentences, id_col, text_col).distinct(), rules)
+
+
+def _judged(found: DataFrame, rules: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     each = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "sentence_id"))).alias("found"))
     each = each.select("doc_id", F.transform("found", lambda x: x["sentence_id"]).alias("sentence_ids"))
     fitting = F.array(*(F.when(follows(F.col("sentence_ids"), ids), F.lit(name)) for name, ids in rules))
     return each.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), "sentence_ids", F.sort_array(F.array_distinct(F.array_compact(fitting))).alias("licenses"))
+
+
+def _variants() -> dict[str, str]:
+    """Known sentences by normalised form: those above and, for all licences alike, the usual ways to name one."""
+    names = {
+        "MIT": ("mit license", "mit"), "Apache-2.0": ("apache license version 2 0", "apache license version 2 0 the license", "apache license 2 0", "apache 2 0 license", "apache 2 0"),
+        "GPL-3.0": ("gnu general public license version 3", "gnu general public license v3 0", "gnu general public license v3", "gnu gpl v3", "gpl v3", "gplv3", "gpl 3 0"),
+        "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "bsd 2 clause"), "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "new bsd license", "bsd 3 clause"),
+        "CC-BY-4.0": ("cc by 4 0", "cc by 4 0 license", "creative commons attribution 4 0 international license"), "CC-BY-SA-4.0": ("cc by sa 4 0", "cc by sa 4 0 license", "creative commons attribution sharealike 4 0 international license"),
+        "CC-BY-NC-4.0": ("cc by nc 4 0", "cc by nc 4 0 license", "creative commons attribution noncommercial 4 0 international license"), "CC0-1.0": ("cc0 1 0", "cc0 1 0 universal", "cc0 1 0 license"),
+    }
+    whole = [""] + [f"{the} {x} is " for the in ("this", "the") for x in ("project", "software", "work", "code", "source code", "file", "program", "library", "package", "repository")]
+    out = {f"{w}{verb} under {the}{n}": f"named.{x}" for x, forms in names.items() for n in forms for w in whole for verb in ("released", "licensed", "distributed", "available", "made available") for the in ("", "the ", "a ")}
+    tags = {"MIT": ("mit",), "Apache-2.0": ("apache 2 0",), "GPL-3.0": ("gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"), "BSD-2-Clause": ("bsd 2 clause",), "BSD-3-Clause": ("bsd 3 clause",), "CC-BY-4.0": ("cc by 4 0",), "CC-BY-SA-4.0": ("cc by sa 4 0",), "CC-BY-NC-4.0": ("cc by nc 4 0",), "CC0-1.0": ("cc0 1 0",)}
+    out |= {f"spdx license identifier {t}": f"spdx.{x}" for x, forms in tags.items() for t in forms}
+    out["neither the name of the copyright holder nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission"] = "bsd.endorse"
+    return out | {text: name for name, text in SENTENCES.items()}
+
+
+#: Identifiers by normalised sentence, and the rules above with one for each licence that is named or tagged.
+WRAPPED = _variants()
+WRAPPED_RULES = (*RULES, *((x, (f"{kind}.{x}",)) for kind in ("named", "spdx") for x in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")))
+#: A sentence surely ends at . ! ? before white space or the end, and at lines without ASCII letters and digits. It may end, or go on, at line ends, : and ; and after list marks.
+SURE, BLANK, MARK, MAYBE = r"[.!?]+(?=\s|$)", r"\n[^A-Za-z0-9\n]*\n", r"(^|[\n\x01])([^A-Za-z0-9\n\x01]*[0-9A-Za-z]{1,3}\))[ \t]", r"\n|[:;]+(?=\s|$)"
+
+
+def wrapped_sentences(docs: DataFrame, known: Mapping[str, str] = WRAPPED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, place, sentence_id) of the known sentences, over line ends or not: from each place the longest, without those that begin inside one."""
+    table = docs.sparkSession.createDataFrame(sorted(known.items()), "normal string, sentence_id string")
+    begins = sorted({" ".join(text.split()[:2]) for text in known})
+    longest = max(len(text.split()) for text in known)
+    rows = id_text(docs, id_col, text_col).distinct().withColumn("row", F.xxhash64("text"))
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), BLANK, "\x01"), SURE, "\x01")
+    rows = rows.select("doc_id", "row", F.posexplode(F.split(F.regexp_replace(text, MARK, "$1$2\n"), "\x01")).alias("group", "part"))
+    rows = rows.filter(F.length("part") >= min(map(len, known))).withColumn("parts", F.filter(F.transform(F.split("part", MAYBE), normalised), lambda x: x != ""))
+    rows = rows.select("doc_id", "row", "group", "parts", F.posexplode("parts").alias("i", "part"))
+    rows = rows.filter(F.substring_index(F.array_join(F.slice("parts", F.col("i") + 1, 2), " "), " ", 2).isin(begins))
+    # each part has a word at least, so no known sentence has more parts than words
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("parts") - F.col("i")))))
+    rows = rows.withColumn("normal", F.array_join(F.slice("parts", F.col("i") + 1, F.col("n")), " ")).join(F.broadcast(table), "normal")
+    rows = rows.groupBy("doc_id", "row", "group", "i").agg(F.max(F.struct("n", "sentence_id")).alias("best"))
+    before = F.max(F.col("i") + F.col("best.n")).over(Window.partitionBy("doc_id", "row", "group").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before).filter("before is null or before <= i")
+    return rows.select("doc_id", F.struct("group", "i", "row").alias("place"), F.col("best.sentence_id").alias("sentence_id"))
+
+
+def scan_wrapped(docs: DataFrame, known: Mapping[str, str] = WRAPPED, rules: Sequence[tuple[str, Sequence[str]]] = WRAPPED_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As scan, with sentences that are wrapped at line ends, SPDX tags and the usual variants."""
+    return _judged(wrapped_sentences(docs, known, id_col, text_col), rules)

@@ -54,6 +54,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).select("doc_id", "n_sentences", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " ").alias("licenses"))
 
 
+def op8_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_wrapped(documents(spark, sf_dir)).select("doc_id", "n_sentences", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " ").alias("licenses"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encode(documents(spark, sf_dir), tokenizer(PIECES))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -63,7 +67,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op9_sentencepiece, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op8_license_scan_wrapped, op9_sentencepiece, op10_sharding)}
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -140,5 +144,24 @@ with known(normal, sentence_id) as (values {known}),
 select doc_id, n_sentences, sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x is not null))), ' ') as licenses from f"""
 
 
+def _wrapped_sql() -> str:
+    known = ", ".join(f"('{text}', '{name}')" for text, name in licenses.WRAPPED.items())
+    rule = lambda ids: "(^| )" + "( .*)? ".join(i.replace(".", "[.]") for i in ids) + "( |$)"
+    cases = ", ".join(f"case when regexp_matches(sentence_ids, '{rule(ids)}') then '{name}' end" for name, ids in licenses.WRAPPED_RULES)
+    return rf"""
+with known(normal, sentence_id) as (values {known}),
+     t as (select doc_id, regexp_replace(regexp_replace(text, '\n[^A-Za-z0-9\n]*\n', chr(1), 'g'), '[.!?]+(\s|$)', chr(1) || '\1', 'g') as text from documents where text is not null),
+     g as (select doc_id, generate_subscripts(groups, 1) as g, unnest(groups) as part from (select doc_id, string_split(regexp_replace(text, '(^|[\n\x01])([^A-Za-z0-9\n\x01]*[0-9A-Za-z]{{1,3}}\))[ \t]', '\1\2' || chr(10), 'g'), chr(1)) as groups from t)),
+     p as (select doc_id, g, list_filter(list_transform(string_split(regexp_replace(part, '[:;]+(\s|$)', chr(10) || '\1', 'g'), chr(10)),
+                  lambda x: trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') as parts from g),
+     a as (select doc_id, g, parts, unnest(range(1, len(parts) + 1)) as i from p),
+     r as (select doc_id, g, i, unnest(range(i, len(parts) + 1)) as j, parts from a),
+     m as (select doc_id, g, i, max(j) as j, arg_max(sentence_id, j) as sentence_id from r join known on normal = array_to_string(parts[i:j], ' ') group by doc_id, g, i),
+     o as (select *, max(j) over (partition by doc_id, g order by i rows between unbounded preceding and 1 preceding) as before from m),
+     f as (select doc_id, count(*) as n_sentences, string_agg(sentence_id, ' ' order by g, i) as sentence_ids from o where before is null or before < i group by doc_id)
+select doc_id, n_sentences, sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x is not null))), ' ') as licenses from f"""
+
+
 ORACLES["op7_url_filter"] = _url_sql()
 ORACLES["op8_license_scan"] = _license_sql()
+ORACLES["op8_license_scan_wrapped"] = _wrapped_sql()
