@@ -1,69 +1,72 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one sends each row's hash to a slot of a bit filter and notes the slots that were hit again;
-pass two lets rows in other slots straight through (no row shares their text) and shuffles only the
-possibly repeated ones, as digests, never as texts.
+The texts are read once, to a narrow table of ids and digests; from then on no text moves. Pass one sends
+each digest to a word of a blocked Bloom filter (two bits in one of 64) and keeps the words in which bits
+were set again by an equal pair; pass two lets rows whose bits were not straight through, as no row
+shares their text, and only the possibly repeated ones are grouped by digest.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cleared, staged, with_group
 
-#: Slots for each row: about 1 row in 32 takes the long way without need.
-SLOTS_PER_ROW = 32
-#: A filter of at most so many 64-bit words is broadcast (16 bytes a row of it); a larger one is joined by shuffle.
-BROADCAST_WORDS = 2_000_000
-#: Tasks that a group of copies is dealt to at least.
-SALTS = 16
+#: Bits of the filter for each row, two of which it sets.
+BITS_PER_ROW = 16
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, broadcast_words: int) -> DataFrame:
-    """doc_id, text, the whole input row as `row`, and `maybe`: whether another row may share the text."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct("*").alias("row"))
-    slots = 1 << max(12, (SLOTS_PER_ROW * docs.count()).bit_length())
-    # lower() maps texts that are equal after A-Z lower-casing to one text, so the slot never tells them apart
-    slotted = rows.withColumn("slot", F.xxhash64(F.lower("text")).bitwiseAND(F.lit(slots - 1)))
-    slotted = slotted.withColumns({"word": F.shiftright("slot", 6), "bit": F.expr("shiftleft(1L, cast(slot & 63 as int))")})
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
 
-    # pass one: slots hit twice or more
-    again = slotted.groupBy("slot", "word", "bit").count().filter("count > 1")
-    words = again.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    if slots // 64 <= broadcast_words:
-        words = F.broadcast(words)
 
-    # pass two
-    return slotted.join(words, "word", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)))
+def _masked(rows: DataFrame, words: int) -> DataFrame:
+    """rows with the word of the filter that their digest falls in, and the two bits that it sets there."""
+    one, two = (F.expr(f"shiftleft(1L, cast(pmod(xxhash64(digest, {k}), 64) as int))") for k in (1, 2))
+    return rows.withColumns({"word": F.pmod(F.xxhash64("digest"), F.lit(words)), "mask": one.bitwiseOR(two)})
+
+
+def _filter(rows: DataFrame, words: int) -> DataFrame:
+    """Pass one: (word, bits) of the bits that equal pairs set more than once."""
+    again = _masked(rows, words).groupBy("word", "mask").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return again.groupBy("word").agg(F.bit_or("mask").alias("bits"))
 
 
-def _digest() -> Column:
-    return F.sha2(ascii_lower(F.col("text")), 256)
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of exact_dedup, and the staged tables that they are read from."""
+    rows = staged(docs.select(docs[id_col].cast("long").alias("doc_id"), _digest(docs[text_col]).alias("digest")), "digests")
+    words = max(1 << 10, -(-rows.count() * BITS_PER_ROW // 64))
+    # written, so that its size is known: Spark broadcasts it below its threshold and else joins ids and digests by word
+    again = staged(_filter(rows, words), "filter")
+    judged = _masked(rows, words).join(again, "word", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)))
+
+    # pass two
+    hex_digest = F.lower(F.hex("digest")).alias("text_sha256")
+    alone = judged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hex_digest)
+    maybe = judged.filter("maybe").select("doc_id", "digest")
+    groups = staged(maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    grouped = with_group(maybe, groups, ["digest"], "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), hex_digest)
+    return alone.unionByName(grouped), [rows, again, groups]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; of equal ones the largest doc_id stays.
     Null text: counts as empty. Empty table: no rows. Repeated rows (same id and text): each counts in
     group_size and each is kept or dropped as its id is. Null ids: never chosen over a real id.
     """
-    judged = _judged(docs.select(id_col, text_col), id_col, text_col, broadcast_words)
-    alone = judged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), _digest().alias("text_sha256"))
-    maybe = judged.filter("maybe").select("doc_id", _digest().alias("text_sha256"))
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # a group's row is sent in SALTS copies, so that its documents are dealt to as many tasks, and AQE may split those
-    salted = maybe.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    grouped = salted.join(groups, ["text_sha256", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return alone.unionByName(grouped)
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """docs without the rows that exact_dedup drops, all columns kept; only possibly repeated rows are shuffled."""
-    judged = _judged(docs, id_col, text_col, broadcast_words)
-    maybe = judged.filter("maybe").select("doc_id", "row", _digest().alias("digest"))
-    stays = maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
-    # id and digest are the key, so that a large group of copies is spread evenly
-    kept = maybe.join(stays, (maybe["digest"] == stays["digest"]) & maybe["doc_id"].eqNullSafe(stays["keep_id"]), "left_semi")
-    return judged.filter(~F.col("maybe")).select("row.*").unionByName(kept.select("row.*"))
+    return _judged(docs, id_col, text_col)[0]
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that exact_dedup drops, all columns kept.
+
+    The ids and digests that go are a written table: below Spark's threshold they are broadcast and no
+    text moves; beyond it, texts are shuffled once, by id and digest.
+    """
+    judged, tables = _judged(docs, id_col, text_col)
+    gone = staged(judged.filter(~F.col("kept")).select("doc_id", F.unhex("text_sha256").alias("digest")).distinct(), "gone")
+    cleared(*tables)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _digest(docs[text_col]).alias("digest"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["digest"] == gone["digest"]), "left_anti").select("row.*")

@@ -2,32 +2,39 @@
 
 Two sets of shingles that are similar enough share a token among the first few of each under any order of
 all tokens. Three orders are used: by document frequency (rare first), which proposes candidates, and two
-by hash. A pair is verified only if its prefixes meet under all three.
+by hash. A pair is verified only if its prefixes meet, often enough, under all three.
 
 Shingles are counted over packed lists between batches of texts, as are the frequencies that go back.
 Equal sets are one node from the start. Links are found in rounds: in each group of nodes that share a
 prefix token, a node is compared with the group's leader as long as both are in different components,
 and the leader changes from round to round. What then is still apart, though it shares a prefix token, is
 compared pair by pair, so that no link between components is lost and no group's pairs are all made.
+
+A token's frequency tells how many tasks its group is dealt to. Intermediate tables are written to the
+shared folder and emptied when what follows is written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashing as H
-from .common import id_text, let_go, partitions, shared_dir, staged
+from .common import batches_of, cleared, id_text, staged, with_group
 from .tokens import slices
 
-BATCHES = 4
 #: Bits of a shingle's hash by which it is counted, and by which sets are compared.
 COUNT_BITS, SET_BITS = 48, 56
 #: Leaders that a node is compared with in a round; rounds at most, and the share of the best round's links that lets one more follow.
-LEADERS, ROUNDS, WORTHWHILE = 2, 4, 0.1
+#: Rounds look at so many tokens from either end of a prefix. None of these loses a link: the rest that follows looks at all.
+LEADERS, ROUNDS, WORTHWHILE, ENDS = 2, 4, 0.1, 16
+#: Nodes of a token's group that one task takes, in a round and on either side of the rest.
+GROUP_NODES, SIDE_NODES = 4096, 1024
 
 
 def shingles(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -64,7 +71,7 @@ def _encoded(table: pa.Table, ids: np.ndarray | None = None) -> tuple[np.ndarray
 
 
 def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, s1, s2: the size of each set and two sums over its mixed members, equal for equal sets."""
+    """doc_id, size (bytes of text), n, s1, s2: the size of each set and two sums over its mixed members, equal for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -76,20 +83,21 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
                     total = np.zeros(len(sizes), "u8")
                     np.add.at(total, doc, H.mix(values, 11 + k))
                     sums[k].append(total)
-            columns = [batch.column(0), pa.array(np.concatenate(n).astype("i8")), *(pa.array(np.concatenate(s).view("i8")) for s in sums)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2"])
+            columns = [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.concatenate(n).astype("i8")), *(pa.array(np.concatenate(s).view("i8")) for s in sums)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "n", "s1", "s2"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, size long, n long, s1 long, s2 long")
 
 
-def prefixes(docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The nodes with a prefix token that another node has: doc_id, n, tokens, places, second, third, members.
+def prefixes(docs: DataFrame, nodes: DataFrame, size: int, percent: int, batches: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The nodes with a prefix token that another node has: doc_id, n, tokens, places, times, second, third, members.
 
-    tokens: of the prefix by frequency, those of two nodes or more, rare first, and their places in it;
-    second, third: the prefixes under two orders by hash; members: the set, packed.
+    tokens: of the prefix by frequency, those of two nodes or more, rare first, their places in it and
+    the numbers of nodes that have them; second, third: the prefixes under two orders by hash, 32 bits of
+    each, packed; members: the set, packed.
     """
-    parts = partitions(docs.sparkSession)
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES * parts)).cast("int").alias("batch")
+    parts = -(-batches // 4)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
     dealt = id_text(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", "text", batch).groupBy("batch")
     listed = nodes.select("doc_id", batch).groupBy("batch").agg(F.collect_list("doc_id").alias("ids"))
     none = lambda name: F.lit(None).cast("binary").alias(name)
@@ -133,7 +141,7 @@ def prefixes(docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col:
 
     def cut(table: pa.Table, side: pa.Table) -> pa.Table:
         """Second pass: the prefixes."""
-        out = {k: [] for k in ("doc_id", "n", "tokens", "places", "second", "third", "members")}
+        out = {k: [] for k in ("doc_id", "n", "tokens", "places", "times", "second", "third", "members")}
         if table.num_rows and side.num_rows:
             rows = [(h, c) for h, c in zip(side.column("hashes").to_pylist(), side.column("counts").to_pylist(), strict=True) if h is not None]
             known = np.concatenate([np.zeros(0, "u8"), *(H.unpack_sorted(h) for h, _ in rows)])
@@ -150,37 +158,45 @@ def prefixes(docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col:
                 place = np.arange(len(doc)) - starts[doc]  # rows of a text stand together in any order of theirs
                 order = np.lexsort((values, df, doc))
                 token = (place < length[doc]) & (df[order] > 1)
-                tokens, places, owner = values[order][token].view("i8"), place[token], doc[token]
+                tokens, places, often, owner = values[order][token].view("i8"), place[token], df[order][token], doc[token]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
-                second, third = (m[np.lexsort((m, doc))] for m in (H.mix(values, 21), H.mix(values, 22)))
-                second, third = second.view("i8"), (third >> np.uint64(32)).astype("u4").view("i4")
+                second, third = (m[np.lexsort((m, doc))] >> np.uint64(32) for m in (H.mix(values, 21), H.mix(values, 22)))
                 for d in np.flatnonzero(np.diff(ends)):
                     a, p = starts[d], length[d]
                     out["doc_id"].append(ids[first + d]), out["n"].append(sizes[d]), out["tokens"].append(tokens[ends[d] : ends[d + 1]]), out["places"].append(places[ends[d] : ends[d + 1]])
-                    out["second"].append(second[a : a + p]), out["third"].append(third[a : a + p])
+                    out["times"].append(often[ends[d] : ends[d + 1]].astype("i8")), out["second"].append(H.pack_sorted(second[a : a + p])), out["third"].append(H.pack_sorted(third[a : a + p]))
                     out["members"].append(H.pack_sorted(values[a : a + sizes[d]] >> set_shift))
-        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "second": pa.list_(pa.int64()), "third": pa.list_(pa.int32()), "members": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "times": pa.list_(pa.int64()), "second": pa.binary(), "third": pa.binary(), "members": pa.binary()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     counted = dealt.cogroup(listed.groupBy("batch")).applyInArrow(count, "part int, batch int, hashes binary, counts binary")
     totals = counted.groupBy("part").applyInArrow(total, "batch int, hashes binary, counts binary")
     side = totals.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(listed.select("batch", none("hashes"), none("counts"), "ids"))
-    return dealt.cogroup(side.groupBy("batch")).applyInArrow(cut, "doc_id long, n long, tokens array<long>, places array<int>, second array<long>, third array<int>, members binary")
+    return dealt.cogroup(side.groupBy("batch")).applyInArrow(cut, "doc_id long, n long, tokens array<long>, places array<int>, times array<long>, second binary, third binary, members binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b): those whose sizes and prefixes under the hash orders agree, and then whose sets are similar."""
-    part = lambda k, *columns: sets.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in columns))
-    brief = ("n", "second", "third")
-    near = pairs.join(part("a", *brief), "a").join(part("b", *brief), "b")
-    # of a prefix of L tokens at most n - (least intersection) are not in the other set; the rest is in the other's
-    # prefix too, for the side whose prefix ends first
-    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    shared = F.least(F.size("second_a") - F.col("n_a"), F.size("second_b") - F.col("n_b")) + least
-    near = near.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.size(F.array_intersect("second_a", "second_b")) >= shared) & F.arrays_overlap("third_a", "third_b"))
-    near = near.select("a", "b").join(part("a", "members"), "a").join(part("b", "members"), "b")
+    """Of pairs (a, b), a staged table: the staged ones whose prefixes under both hash orders meet, and then whose sets are similar.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Few pairs are broadcast to the sets, as Spark knows their size; else the sets' rows move to the pairs.
+    """
+    side = lambda k, *columns: sets.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in columns))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            # of a prefix of L tokens at most n - (least intersection) are not in the other set; the rest is in the
+            # other's prefix too, for the side whose prefix ends first
+            least = -(-(n_a + n_b) * percent // (100 + percent))
+            keep = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
+            for one, two in ((4, 5), (6, 7)):
+                for k in np.flatnonzero(keep):
+                    p, q = H.unpack_sorted(batch.column(one)[k].as_py()), H.unpack_sorted(batch.column(two)[k].as_py())
+                    keep[k] = np.isin(p, q).sum() >= min(len(p) - n_a[k], len(q) - n_b[k]) + least[k]
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keep = []
             for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -190,7 +206,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return near.select("a", "b", "members_a", "members_b").mapInArrow(run, "a long, b long")
+    brief = ("n", "second", "third")
+    both = pairs.join(side("a", *brief), "a").join(side("b", *brief), "b").select("a", "b", *(f"{c}_{k}" for c in brief for k in "ab"))
+    near = staged(both.mapInArrow(meet, "a long, b long"), "near")
+    links = staged(near.join(side("a", "members"), "a").join(side("b", "members"), "b").select("a", "b", "members_a", "members_b").mapInArrow(check, "a long, b long"), "links")
+    cleared(pairs, near)
+    return links
 
 
 def crossing(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -200,54 +221,90 @@ def crossing(labels: DataFrame, links: DataFrame) -> DataFrame:
     return edges.select(F.greatest("label_a", "label_b").alias("x"), F.least("label_a", "label_b").alias("y")).filter("x > y")
 
 
-def hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after every label that links connect to smaller ones has gone to the smallest, and on along three more hooks."""
-    roots = crossing(labels, links).groupBy("x").agg(F.min("y").alias("y"))
-    up = roots.select(F.col("x").alias("y"), F.col("y").alias("z"))
+def hooked(labels: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Staged labels after every label that links connect to smaller ones has gone to the smallest, and on along three more hooks; None if none does."""
+    roots = staged(crossing(labels, links).groupBy("x").agg(F.min("y").alias("y")), "roots")
+    if roots.isEmpty():
+        cleared(roots)
+        return None
+    up, far = roots.select(F.col("x").alias("y"), F.col("y").alias("z")), roots
     for _ in range(3):
-        roots = roots.join(up, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
-    return labels.join(roots.withColumnRenamed("x", "label"), "label", "left").select("doc_id", F.coalesce("y", "label").alias("label"))
-
-
-def components(sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id and label (the smallest doc_id of its component) of the rows of prefixes().
-
-    Nodes of one label are in one component at every time; at the end those of one component have one label.
-    """
-    labels = sets.select("doc_id", F.col("doc_id").alias("label")).distinct()
-    # a node whose prefix has few tokens of its own alone is near the middle of what it is like
-    own_only = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.size("tokens")
-    shares = sets.select("doc_id", own_only.alias("lone"), F.explode("tokens").alias("token"))
-    every, most = None, 0
+        far = far.join(up, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
+    # a label is looked up once and not for each of its nodes, so that a large component is in no one task
+    named = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members")).join(far.withColumnRenamed("x", "label"), "label", "left")
+    out = staged(with_group(labels, named, ["label"]).select("doc_id", F.coalesce("y", "label").alias("label")), "labels")
+    cleared(roots, labels)
+    return out
+
+
+def _rounds(sets: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Labels and links after the rounds of leaders."""
+    found, most = [], 0
+    part = lambda n: F.ceil(n / GROUP_NODES).cast("int")
+    # the rarest and the commonest tokens of a prefix; a node whose prefix has few tokens of its own alone is near the middle of what it is like
+    ends = lambda c: F.when(F.size(c) <= 2 * ENDS, F.col(c)).otherwise(F.concat(F.slice(c, 1, ENDS), F.slice(c, -ENDS, ENDS)))
+    brief = sets.select("doc_id", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.size("tokens")).alias("lone"), F.arrays_zip(ends("tokens").alias("token"), ends("times").alias("times")).alias("t"))
     for turn in range(ROUNDS):
-        own = shares.join(labels, "doc_id")
+        own = brief.join(labels, "doc_id").select("doc_id", "label", "lone", F.inline("t")).withColumn("part", F.pmod(F.xxhash64("doc_id"), part(F.col("times"))).cast("int"))
         chance = F.xxhash64("doc_id", F.lit(turn))
         leader = F.min_by(F.struct("doc_id", "label"), F.struct("lone", chance) if turn % 2 == 0 else F.struct(chance))
-        groups = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), leader.alias("leader")).filter("low < high")
-        apart = own.join(groups.select("token", F.col("leader.doc_id").alias("b"), F.col("leader.label").alias("other")), "token").filter("label <> other")
+        groups = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), leader.alias("leader"), F.max("times").alias("times")).filter("low < high")
+        groups = groups.select("token", F.col("leader.doc_id").alias("b"), F.col("leader.label").alias("other"), F.explode(F.sequence(F.lit(0), part(F.col("times")) - 1)).alias("part"))
+        apart = own.join(groups, ["token", "part"]).filter("label <> other")
         pairs = apart.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
-        # a node's leaders are no more than its prefix tokens; those with which it shares most go first
+        # a node's leaders are no more than its tokens; those with which it shares most go first
         best = pairs.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), False), 1, LEADERS).alias("best"))
-        links = verified(best.select("a", F.explode("best").alias("x")).select("a", "x.b"), sets, percent).checkpoint()
-        every, found = links if every is None else every.union(links), links.count()
-        if found:
-            labels = hooked(labels, links).checkpoint()
-        most = max(most, found)
-        let_go(sets.sparkSession)
-        if turn and found <= WORTHWHILE * most:
+        links = verified(staged(best.select("a", F.explode("best").alias("x")).select("a", "x.b"), "pairs"), sets, percent)
+        found.append(links)
+        n = links.count()
+        labels = (n and hooked(labels, links)) or labels
+        most = max(most, n)
+        if turn and n <= WORTHWHILE * most:
             break
-    # the rest, whole: nodes of different labels that share a prefix token, each pair at the first that it shares.
-    # What stands before that token in either prefix is not in the other set, which bounds the intersection
-    own = sets.select("doc_id", "n", "tokens", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("doc_id", "n", "tokens", F.col("t.tokens").alias("token"), F.col("t.places").alias("place")).join(labels, "doc_id")
-    split = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    own = own.join(split, "token")
-    x, y = (own.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "tokens", "place", "label"))) for k in "ab")
-    bound = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    first = F.array_intersect("tokens_a", "tokens_b")[0] == x["token"]
-    rest = x.join(y, (x["token"] == y["token"]) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & bound & first)
-    every = every.union(verified(rest.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), sets, percent).checkpoint())
-    while not crossing(labels, every).isEmpty():
-        labels = hooked(labels, every).checkpoint()
+    return labels, found
+
+
+def _rest(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of different labels that share a prefix token, whole.
+
+    Of a prefix token's nodes only pairs of fitting sizes meet: a set of n is in a class by log n, and
+    meets those of its own and the next class. Large groups are cut into blocks, each of which meets each.
+    What stands before a shared token in either prefix is not in the other set, or is shared as well;
+    where it isn't, its number bounds the intersection.
+    """
+    side = lambda n: F.ceil(n / SIDE_NODES).cast("int")
+    own = sets.join(labels, "doc_id").select("doc_id", "n", "label", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"), F.col("times").alias("times"))))
+    own = own.withColumn("part", F.pmod(F.xxhash64("doc_id"), side(F.col("times"))).cast("int"))
+    split = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("times").alias("times")).filter("low < high")
+    split = staged(split.select("token", F.explode(F.sequence(F.lit(0), side(F.col("times")) - 1)).alias("part")), "split")
+    step = math.log(100 / percent) if percent < 100 else 1e-9
+    own = staged(own.join(split, ["token", "part"]).withColumn("class", F.floor(F.log("n") / step + 1e-6).cast("long")), "apart")
+    every = F.sequence(F.lit(0), side(F.col("times")) - 1)
+    x = own.select("token", "class", F.col("part").alias("i"), F.explode(every).alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "label")))
+    y = own.select("token", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"), F.explode(every).alias("i"), F.col("part").alias("j"), *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "place", "label")))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
+    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("label_a") != F.col("label_b"))
+    pairs = x.join(y, ["token", "class", "i", "j"]).filter(smaller & fits).groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    # the last token that two prefixes share: what both have of its predecessors is all counted, as they share no token before their first
+    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+    left = F.least(F.col("n_a") - F.col("last_a") - 1, F.col("n_b") - F.col("last_b") - 1)
+    pairs = pairs.filter((F.col("shared") + left) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    links = verified(staged(pairs.select("a", "b"), "pairs"), sets, percent)
+    cleared(split, own)
+    return links
+
+
+def components(sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id and label (the smallest doc_id of its component) of the rows of prefixes(), staged.
+
+    Nodes of one label are in one component at every time; at the end those of one component have one label.
+    """
+    labels, found = _rounds(sets, staged(sets.select("doc_id", F.col("doc_id").alias("label")).distinct(), "labels"), percent)
+    found.append(_rest(sets, labels, percent))
+    every = reduce(DataFrame.union, found)
+    while (more := hooked(labels, every)) is not None:
+        labels = more
+    cleared(*found)
     return labels
 
 
@@ -259,19 +316,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Shorter texts: one shingle of all words. Null ids: linked with nothing, component_id is null. Equal
     sets: always linked; repeated rows are. Rows of one id are one node. Empty table: no rows.
     """
-    shared_dir(docs.sparkSession)  # checkpoints need it
     signed = staged(signatures(docs, size, id_col, text_col), "signatures")
-    real = signed.filter("n > 0 and doc_id is not null")
-    nodes = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    sets = staged(prefixes(docs, nodes.select(F.col("node").alias("doc_id")), size, percent, id_col, text_col), "prefixes")
-    let_go(docs.sparkSession)
-    labels = components(sets, percent).select(F.col("doc_id").alias("node"), "label")
-    labelled = nodes.join(labels, "node", "left").select("n", "s1", "s2", F.coalesce("label", "node").alias("component_id"))
-    found = real.join(labelled, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return found.unionByName(signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    real = signed.filter("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2")
+    nodes = staged(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("members")), "nodes")
+    batches = batches_of(docs.sparkSession, signed.agg(F.sum("size")).first()[0] or 0)
+    sets = staged(prefixes(docs, nodes.select(F.col("node").alias("doc_id")), size, percent, batches, id_col, text_col), "prefixes")
+    labels = components(sets, percent)
+    labelled = nodes.join(labels.select(F.col("doc_id").alias("node"), "label"), "node", "left").select("n", "s1", "s2", "members", F.coalesce("label", "node").alias("component_id"))
+    found = with_group(real, labelled, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = staged(found.unionByName(signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "components")
+    cleared(signed, nodes, sets, labels)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, that of the smallest id; all columns kept. Rows with null ids stay."""
-    gone = near_duplicates(docs, size, percent, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = staged(near_duplicates(docs, size, percent, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

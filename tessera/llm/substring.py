@@ -21,10 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from . import hashing as H
-from .common import partitions
+from .common import batches_of, text_bytes
 
-#: Batches of texts for each part of the exchange.
-BATCHES = 4
 WINDOW = 20
 #: Bits of a run's hash by which probes meet blocks. A chance meeting costs time only: windows decide.
 PROBE_BITS = 48
@@ -85,10 +83,11 @@ def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, as_was: b
     if window < 2:
         raise ValueError("a window has two words at least")
     block = window // 2
-    parts = partitions(docs.sparkSession)
+    batches = batches_of(docs.sparkSession, text_bytes(docs, text_col))
+    parts = -(-batches // 4)
     shift = np.uint64(64 - PROBE_BITS)
     doc_id = docs[id_col].cast("long")
-    dealt = docs.select(doc_id.alias("doc_id"), docs[text_col].alias("text"), F.struct(F.lit(0).alias("__"), *(docs[c] for c in docs.columns if c != text_col)).alias("rest"), F.pmod(F.xxhash64(doc_id), F.lit(BATCHES * parts)).cast("int").alias("batch"))
+    dealt = docs.select(doc_id.alias("doc_id"), docs[text_col].alias("text"), F.struct(F.lit(0).alias("__"), *(docs[c] for c in docs.columns if c != text_col)).alias("rest"), F.pmod(F.xxhash64(doc_id), F.lit(batches)).cast("int").alias("batch"))
 
     def probe(table: pa.Table) -> pa.Table:
         """First pass: the batch's distinct runs; flag 1: it is a block, flag 2: it occurs twice or more here."""
@@ -223,10 +222,10 @@ def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, as_was: b
             names = [None if i == np.iinfo("i8").max else int(i) for i in ids]
         return pa.table({"doc_id": pa.array(names, pa.int64()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "rest": rest})
 
-    batches = dealt.groupBy("batch")
-    probes = batches.applyInArrow(probe, "part int, batch int, hashes binary, flags binary")
+    by_batch = dealt.groupBy("batch")
+    probes = by_batch.applyInArrow(probe, "part int, batch int, hashes binary, flags binary")
     hits = probes.groupBy("part").applyInArrow(meet, "batch int, hits binary")
-    windows = batches.cogroup(hits.groupBy("batch")).applyInArrow(extend, "part int, batch int, hashes binary, more binary, docs binary, places binary, at binary")
+    windows = by_batch.cogroup(hits.groupBy("batch")).applyInArrow(extend, "part int, batch int, hashes binary, more binary, docs binary, places binary, at binary")
     later = windows.groupBy("part").applyInArrow(compare, "batch int, later binary")
-    return batches.cogroup(later.groupBy("batch")).applyInArrow(remove, StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string").add(dealt.schema["rest"]))
+    return by_batch.cogroup(later.groupBy("batch")).applyInArrow(remove, StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string").add(dealt.schema["rest"]))
 

@@ -60,11 +60,19 @@ def norm(text):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
 
 
-@pytest.mark.parametrize("broadcast_words", [exact_dedup.BROADCAST_WORDS, 0])
-def test_exact_dedup(spark, docs, broadcast_words):
+@pytest.fixture(params=["10m", "-1"])
+def threshold(request, spark):
+    """Joins are broadcast where they are small, and never."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_exact_dedup(spark, docs, threshold):
     more = docs.unionByName(docs.filter("doc_id = 9")).unionByName(docs.filter("doc_id = 12").withColumn("doc_id", F.lit(None).cast("long")))
     rows = [*ROWS, ROWS[9], (None, ROWS[12][1])]
-    got = exact_dedup.exact_dedup(more, broadcast_words=broadcast_words).collect()
+    got = exact_dedup.exact_dedup(more).collect()
     groups = {}
     for i, t in rows:
         groups.setdefault(norm(t), []).append(i)
@@ -74,12 +82,26 @@ def test_exact_dedup(spark, docs, broadcast_words):
         keep = max((x for x in ids if x is not None), default=None)
         want[i, keep, len(ids), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()] += 1
     assert Counter(map(tuple, got)) == want
-    kept = exact_dedup.drop_copies(more, broadcast_words=broadcast_words)
+    kept = exact_dedup.drop_copies(more)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(k[0] for k, n in want.items() if k[3] for _ in range(n))
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0 and exact_dedup.drop_copies(empty(spark)).count() == 0
 
 
+def test_exact_dedup_moves_no_text(spark, docs, threshold):
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
+    joins = exact_dedup.exact_dedup(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert "text#" not in plan.replace("text_sha256", "") and ("SortMergeJoin" in joins) == (threshold == "-1")
+
+
+def test_exact_dedup_hot_group(spark):
+    """A group of more rows than a task takes is dealt to several, and comes back whole."""
+    rows = spark.range(30000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "Same text").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    got = exact_dedup.exact_dedup(rows).groupBy("group_size", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(1, True, 10000), (20000, True, 1), (20000, False, 19999)}
+    assert exact_dedup.drop_copies(rows).count() == 10001
+
+
 def jump(key, n):
     key, b, j = key & (1 << 64) - 1, -1, 0
     while j < n:

@@ -69,6 +69,44 @@ def test_rest_alone_finds_the_same(spark, monkeypatch):
     assert got == brute(rows, 3, 70)
 
 
+@pytest.fixture
+def small_groups(monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_NODES", 4)
+    monkeypatch.setattr(ngram_join, "SIDE_NODES", 3)
+    monkeypatch.setattr(ngram_join, "ENDS", 2)
+
+
+@pytest.mark.parametrize("size, percent, rounds, broadcast", [(3, 90, 4, "-1"), (5, 80, 1, "10m"), (2, 60, 1, "-1")])
+def test_cut_groups(spark, small_groups, monkeypatch, size, percent, rounds, broadcast):
+    """Groups of a token that are dealt to many tasks, and cut into blocks in the rest, lose no link."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        rows = [(i * 7 % 1009, t) for i, t in enumerate(texts(random.Random(size)))]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, percent).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute(rows, size, percent)
+
+
+def test_very_long_texts(spark):
+    """Near copies of 50,000 words, in two families that share a third of their words, and one text of a single long word."""
+    rng = random.Random(6)
+    common = [f"c{rng.randrange(10**6)}" for _ in range(17_000)]
+    rows = []
+    for family in range(2):
+        base = common + [f"f{family}x{rng.randrange(10**6)}" for _ in range(33_000)]
+        for k in range(3):
+            own = list(base)
+            for _ in range(200 * k):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(10**9)}"
+            rows.append((family * 10 + k, " ".join(own)))
+    rows.append((30, "x" * 400_000))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 10: 10, 11: 10, 12: 10, 30: 30}
+
+
 def test_nulls_empty_and_columns(spark):
     schema = "doc_id long, text string, n long"
     assert ngram_join.near_duplicates(spark.createDataFrame([], schema)).count() == 0
