@@ -75,7 +75,7 @@ def cleared(*tables: DataFrame) -> None:
     for table in tables:
         path = table.inputFiles()[:1]
         if path:
-            table.sparkSession.createDataFrame([], "x int").coalesce(1).write.mode("overwrite").parquet(path[0].rpartition("/")[0])
+            table.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(path[0].rpartition("/")[0])
 
 
 def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], count: str = "members", each: int = GROUP_ROWS) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Words are cut before a space that follows no white space, around a single line end, and between letters
 and the marks behind them: no token and no look-ahead of a byte-level BPE's pattern crosses such a cut, so
-a text's ids are its words' ids in a row. Each Python worker keeps the ids of the words it has met (WORDS
-at most, then it begins anew) and asks the library for new ones only.
+a text's ids are its words' ids in a row. Each Python worker keeps the ids of the words it has met, within
+bounds by number and length (beyond which it begins anew), and asks the library for new ones only.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,11 @@ from pyspark.sql import DataFrame
 
 from .common import id_text
 
-#: Words whose ids a worker keeps, about 220 bytes each.
-WORDS = 1_500_000
+#: Bare words and pieces, and words with marks or at the begin of a line, whose ids a worker keeps: about 200 bytes
+#: each, as none of more than LONG characters is kept.
+WORDS, FORMS, LONG = 1_200_000, 400_000, 100
+#: Words that the library is asked for in one string, a line each.
+LINES = 64
 #: Rows that are encoded at a time.
 SLICE = 256
 #: White space other than single spaces and line ends between words.
@@ -36,48 +39,84 @@ _encoders: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Texts to ids, each text's as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str, words: int = WORDS):
+    def __init__(self, path: str, words: int = WORDS, forms: int = FORMS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), words
+        self.tokenizer, self.words, self.most_forms = Tokenizer.from_file(path), words, forms
+        self.line_end = self._ids(["\n"])["\n"]
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, bytes] = {}  # by word; "\n" and a word for one that begins a line, " " and a word for one that begins the text
+        self.forms: list[str] = []  # those of the known words that are put together from others
         self.pieces: dict[str, bytes] = {}  # of texts with white space in a row, by what stands between cuts
         self.marks: dict[str, bytes] = {"": b""}
-        self.line_end = self._ids(["\n"])["\n"]
 
-    def _ids(self, strings: list[str], keys: Iterable[str] | None = None) -> dict[str, bytes]:
+    def _ids(self, strings: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return {w: array("I", e.ids).tobytes() for w, e in zip(keys or strings, found, strict=True)}
-
-    def _learn(self, new: set[str]) -> None:
-        plan = []
+        return {w: array("I", e.ids).tobytes() for w, e in zip(strings, found, strict=True)}
+
+    def _bare(self, words: list[str]) -> None:
+        """The ids of words without white space inside, several in a string: a line end is an id by itself, and in no word."""
+        line_end = int.from_bytes(self.line_end, "little")
+        rows = [words[k : k + LINES] for k in range(0, len(words), LINES)]
+        strings = ["\n".join([w[1:] if w[:1] == " " else " " + w for w in row]) for row in rows]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+            ids = array("I", e.ids)
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(row, [*(4 * k for k, x in enumerate(ids) if x == line_end), len(raw)], strict=True):
+                self.known[w], at = raw[at:end], end + 4
+
+    def _learn(self, new: set[str]) -> list[str]:
+        """Puts words among the known; returns those too long to stay there."""
+        whole, plan, tails, long = set(), [], set(), []
         for w in new:
-            begins = w[:1] in (" ", "\n")
-            body, tail = w[1:] if begins else w, ""
-            if m := _MARKED.fullmatch(body):
+            first, tail, lead = w[:1], "", b""
+            begins = first == " " or first == "\n"
+            body = w[1:] if begins else w
+            if not body.isalpha() and (m := _MARKED.fullmatch(body)):
                 body, tail = m.groups()
-            plan.append((w, self.line_end if w[:1] == "\n" else b"", " " + body if begins else body, tail))
-        # known also holds the words without their marks, and those that begin something
-        bare = {s for _, _, s, _ in plan}.difference(self.known)
-        self.known |= self._ids([s[1:] if s[:1] == " " else " " + s for s in bare], bare)
-        self.marks |= self._ids([t for t in {t for _, _, _, t in plan} if t not in self.marks])
-        for w, lead, s, tail in plan:
+            bare = " " + body if begins else body
+            if bare not in self.known:
+                whole.add(bare)
+            if first == "\n":
+                lead = self.line_end
             if lead or tail:
-                self.known[w] = lead + self.known[s] + self.marks[tail]
+                plan.append((w, lead, bare, tail))
+                if tail not in self.marks:
+                    tails.add(tail)
+            if len(w) > LONG:
+                long += [w, bare]
+        self._bare(list(whole))
+        self.marks |= self._ids(list(tails))
+        for w, lead, bare, tail in plan:
+            self.known[w] = lead + self.known[bare] + self.marks[tail]
+        self.forms += [w for w, _, _, _ in plan if len(w) <= LONG]
+        return long
 
     def _by_piece(self, text: str) -> bytes:
         cut = _CUT.split(text)
-        self.pieces |= self._ids([p for p in set(cut) if p not in self.pieces])
-        return b"".join(map(self.pieces.__getitem__, cut))
+        fresh = self._ids([p for p in set(cut) if p not in self.pieces])
+        out = b"".join([fresh[p] if p in fresh else self.pieces[p] for p in cut])
+        self.pieces |= {p: x for p, x in fresh.items() if len(p) <= LONG}
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.pieces) + len(self.marks) > self.words:
-            self.known, self.pieces, self.marks = {}, {}, {"": b""}
+        if len(self.known) - len(self.forms) + len(self.pieces) + len(self.marks) > self.words:
+            self._forget()
+        if len(self.forms) > self.most_forms:
+            for w in self.forms:
+                del self.known[w]
+            self.forms = []
         cut = [(" " + t.replace("\n", "\0\n").replace(" ", "\0")).split("\0") if _plain(t) else None for t in texts]
-        self._learn(set().union(*(c for c in cut if c is not None)).difference(self.known))
+        long = self._learn(set().union(*(c for c in cut if c is not None)).difference(self.known))
         known = self.known.__getitem__
-        return [self._by_piece(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut, strict=True)]
+        out = [self._by_piece(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut, strict=True)]
+        for w in long:
+            self.known.pop(w, None)
+        self.marks = self.marks if sum(map(len, self.marks)) < 1 << 20 else {"": b""}
+        return out
 
 
 def _plain(text: str) -> bool:

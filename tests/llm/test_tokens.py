@@ -74,6 +74,34 @@ def test_token_files(spark, planes):
     assert token_files.read(token_files.write(rows(spark).filter("false"), BPE)).count() == 0
 
 
+def test_token_files_are_files(spark):
+    """A manifest's file opens in plain Python, block by block; null ids come first and repeated ids stay."""
+    more = spark.createDataFrame([(None, "no id", 0, ""), (3, "again", 0, "")], rows(spark).schema)
+    manifest = token_files.write(rows(spark).unionByName(more), BPE, end_id=2, file_ids=5000).orderBy("part", "first").collect()
+    ids, docs = [], []
+    for r in manifest:
+        with open("/" + r.path.removeprefix("file:").lstrip("/"), "rb") as f:
+            stored = token_files.TokenFile(f)
+            assert stored.n == r.n_ids and len(stored.docs) == r.n_docs and stored.blocks == -(-stored.n // token_files.BLOCK)
+            ids += [x for k in range(stored.blocks) for x in stored.read_block(k).tolist()]
+            docs += stored.docs.tolist()
+    assert docs == [token_files.NO_ID, *sorted([*TEXT, 3])] and ids.count(2) >= len(docs)
+    assert ids[: len(library_ids("no id")) + 1] == [*library_ids("no id"), 2]
+
+
+def test_long_words_are_not_kept():
+    """A text without spaces is one word; its ids are right and it does not stay in the table."""
+    own = tokens.WordEncoder(BPE)
+    texts = ["ab" * 20000 + "%%", "日本" * 9000, "\n" + "xy" * 9000, "  " + "z" * 9000 + "  q"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library_ids(t) for t in texts]
+    assert max(map(len, [*own.known, *own.pieces])) <= tokens.LONG
+    few = tokens.WordEncoder(BPE, words=50, forms=3)
+    for k in range(0, 60, 3):
+        some = [f"w{j}x, y{j}%\nz{j}a. b" for j in range(k, k + 3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in few.encode(some)] == [library_ids(t) for t in some]
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_planes(n, planes):
