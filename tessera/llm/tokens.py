@@ -48,7 +48,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, bytes] = {}  # by word; "\n" and a word for one that begins a line, " " and a word for one that begins the text
+        self.known: dict[str, bytes] = {" ": b""}  # by word; "\n" and a word for one that begins a line, " " and a word for one that begins the text
         self.forms: list[str] = []  # those of the known words that are put together from others
         self.pieces: dict[str, bytes] = {}  # of texts with white space in a row, by what stands between cuts
         self.marks: dict[str, bytes] = {"": b""}
@@ -64,8 +64,11 @@ class WordEncoder:
         strings = ["\n".join([w[1:] if w[:1] == " " else " " + w for w in row]) for row in rows]
         for row, e in zip(rows, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
             ids = array("I", e.ids)
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(row, [*(4 * k for k, x in enumerate(ids) if x == line_end), len(raw)], strict=True):
+            raw, ends, at = ids.tobytes(), [4 * k for k, x in enumerate(ids) if x == line_end], 0
+            if len(ends) != len(row) - 1:  # an added token of the tokenizer has taken a line end
+                self.known |= {w: self._ids([s])[s] for w in row for s in [w[1:] if w[:1] == " " else " " + w]}
+                continue
+            for w, end in zip(row, [*ends, len(raw)], strict=True):
                 self.known[w], at = raw[at:end], end + 4
 
     def _learn(self, new: set[str]) -> list[str]:

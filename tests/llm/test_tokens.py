@@ -96,6 +96,7 @@ def test_long_words_are_not_kept():
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library_ids(t) for t in texts]
     assert max(map(len, [*own.known, *own.pieces])) <= tokens.LONG
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.WordEncoder(BPE).encode(["b c", "", "d"])] == [library_ids("b c"), [], library_ids("d")]
     few = tokens.WordEncoder(BPE, words=50, forms=3)
     for k in range(0, 60, 3):
         some = [f"w{j}x, y{j}%\nz{j}a. b" for j in range(k, k + 3)]
@@ -119,6 +120,6 @@ def test_pieces(spark):
     for i, t in TEXT.items():
         want = model.encode(t or "", add_eos=True)
         assert got[i].ids == want and got[i].decoded == model.decode(want), t
-    small = pieces.ChunkTable(PIECE, chunks=3)
-    assert [small.encode([t or ""])[0] for t in TEXTS] == [model.encode(t or "") for t in TEXTS]
+    own = pieces.model(PIECE)
+    assert [[i for ids in own.segment(own.cut(t or "")) for i in ids] for t in TEXTS] == [model.encode(t or "") for t in TEXTS]
     assert pieces.encode(rows(spark).filter("false"), PIECE).count() == 0
