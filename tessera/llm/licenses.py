@@ -1,7 +1,9 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences, and the
-identifiers found, in the order of the text, are matched against ordered rules.
+A text is normalised, its known licence sentences become their identifiers, and the identifiers found, in
+the order of the text, are matched against ordered rules. recognise() finds known sentences wherever their
+words begin, so line ends, comment leaders, lead-ins and what follows don't hide one; scan() looks only at
+sentences that stand by themselves on a line, and scan_wrapped() at those that go over line ends.
 """
 
 from __future__ import annotations
@@ -134,3 +136,134 @@ def wrapped_sentences(docs: DataFrame, known: Mapping[str, str] = WRAPPED, id_co
 def scan_wrapped(docs: DataFrame, known: Mapping[str, str] = WRAPPED, rules: Sequence[tuple[str, Sequence[str]]] = WRAPPED_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As scan, with sentences that are wrapped at line ends, SPDX tags and the usual variants."""
     return _judged(wrapped_sentences(docs, known, id_col, text_col), rules)
+
+
+# Further sentences of public licences, in normalised form, by identifier.
+MORE_SENTENCES = {
+    "agpl3.title": "gnu affero general public license version 3 19 november 2007",
+    "agpl3.either": "gnu affero general public license as published by the free software foundation either version 3 of the license",
+    "apache2.title": "apache license version 2 0 january 2004",
+    "apache2.header": "licensed under the apache license version 2 0 the license",
+    "bsd.names": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsl1.title": "boost software license version 1 0",
+    "cc0.title": "cc0 1 0 universal",
+    "epl2.title": "eclipse public license v 2 0",
+    "epl2.terms": "under the terms of the eclipse public license 2 0",
+    "gpl2.title": "gnu general public license version 2 june 1991",
+    "gpl2.either": "gnu general public license as published by the free software foundation either version 2 of the license",
+    "gpl3.title": "gnu general public license version 3 29 june 2007",
+    "gpl3.either": "gnu general public license as published by the free software foundation either version 3 of the license",
+    "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl21.title": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl21.either": "gnu lesser general public license as published by the free software foundation either version 2 1 of the license",
+    "lgpl3.title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl3.either": "gnu lesser general public license as published by the free software foundation either version 3 of the license",
+    "mpl2.title": "mozilla public license version 2 0",
+    "mpl2.form": "subject to the terms of the mozilla public license v 2 0",
+    "unlicense.free": "this is free and unencumbered software released into the public domain",
+    "wtfpl.title": "do what the fuck you want to public license",
+    "zlib.liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib.origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+}
+# Names of licences in normalised form, as they follow "under the", and their public short identifiers.
+NAMES = {
+    "AGPL-3.0": ("gnu affero general public license version 3", "agplv3", "agpl 3 0"),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0"),
+    "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license"),
+    "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"),
+    "BSL-1.0": ("boost software license", "boost software license version 1 0"),
+    "CC-BY-4.0": ("cc by 4 0", "creative commons attribution 4 0 international"),
+    "CC-BY-NC-4.0": ("cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"),
+    "CC-BY-SA-4.0": ("cc by sa 4 0", "creative commons attribution sharealike 4 0 international"),
+    "CC0-1.0": ("cc0 1 0", "cc0"),
+    "EPL-2.0": ("eclipse public license version 2 0", "eclipse public license v2 0", "epl 2 0"),
+    "GPL-2.0": ("gnu general public license version 2", "gnu general public license v2", "gnu gpl v2", "gplv2", "gpl 2 0"),
+    "GPL-3.0": ("gnu general public license version 3", "gnu general public license v3", "gnu gpl v3", "gplv3", "gpl v3", "gpl 3 0"),
+    "ISC": ("isc license",),
+    "LGPL-2.1": ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "lgplv2 1", "lgpl 2 1"),
+    "LGPL-3.0": ("gnu lesser general public license version 3", "gnu lesser general public license v3", "lgplv3", "lgpl 3 0"),
+    "MIT": ("mit license", "mit licence", "expat license"),
+    "MPL-2.0": ("mozilla public license 2 0", "mozilla public license version 2 0", "mpl 2 0"),
+    "Unlicense": ("unlicense",),
+    "Zlib": ("zlib license",),
+}
+# Rules beside one for each name and tag, as (licence, identifiers in this order, identifiers that must be absent).
+ORDERED = (
+    ("AGPL-3.0", ("agpl3.title",), ()), ("AGPL-3.0", ("agpl3.either",), ()),
+    ("Apache-2.0", ("apache2.title",), ()), ("Apache-2.0", ("apache2.header", "apache2.comply"), ()), ("Apache-2.0", ("apache2.licensed",), ()), ("Apache-2.0", ("apache2.header",), ()),
+    ("BSD-3-Clause", ("bsd.redistribution", "bsd.source", "bsd.endorse"), ()), ("BSD-3-Clause", ("bsd.redistribution", "bsd.source", "bsd.names"), ()),
+    ("BSD-2-Clause", ("bsd.redistribution", "bsd.source"), ("bsd.endorse", "bsd.names")),
+    ("BSL-1.0", ("bsl1.title",), ()), ("CC0-1.0", ("cc0.title",), ()), ("CC0-1.0", ("cc0.public",), ()),
+    ("EPL-2.0", ("epl2.title",), ()), ("EPL-2.0", ("epl2.terms",), ()),
+    ("GPL-2.0", ("gpl2.title",), ()), ("GPL-2.0", ("gpl2.either",), ()), ("GPL-3.0", ("gpl3.title",), ()), ("GPL-3.0", ("gpl3.either",), ()), ("GPL-3.0", ("gpl3.redistribute",), ()),
+    ("ISC", ("isc.grant",), ()),
+    ("LGPL-2.1", ("lgpl21.title",), ()), ("LGPL-2.1", ("lgpl21.either",), ()), ("LGPL-3.0", ("lgpl3.title",), ()), ("LGPL-3.0", ("lgpl3.either",), ()),
+    ("MIT", ("mit.grant", "mit.notice"), ()), ("MPL-2.0", ("mpl2.title",), ()), ("MPL-2.0", ("mpl2.form",), ()),
+    ("Unlicense", ("unlicense.free",), ()), ("WTFPL", ("wtfpl.title",), ()), ("Zlib", ("zlib.liable", "zlib.origin"), ()),
+)
+#: What stands before a name that licenses something.
+UNDER = ("under", "under the", "under a", "under an", "under the terms of the", "under the terms of", "under the conditions of the")
+
+
+def vocabulary() -> tuple[dict[str, str], tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...]]:
+    """The packaged known sentences (identifier by normalised sentence) and rules; a table of a user's own may take their place."""
+    short = {x: " ".join("".join(c if c.isalnum() else " " for c in x.lower()).split()) for x in NAMES}
+    known = {f"{u} {n}": f"named.{x}" for x, forms in NAMES.items() for n in forms for u in UNDER}
+    for x, s in short.items():
+        ends = ("", " only", " or later") if "GPL" in x else ("",)
+        known |= {f"spdx license identifier {s}{e}": f"tagged.{x}" for e in ends}
+    known |= {text: name for name, text in (SENTENCES | MORE_SENTENCES).items() if not name.endswith(".spdx")}
+    named = tuple((x, (f"{kind}.{x}",), ()) for x in NAMES for kind in ("named", "tagged"))
+    return known, (*ORDERED, *named)
+
+
+def triggers(known: Mapping[str, str]) -> list[str]:
+    """A few words of which every known sentence has one."""
+    left, chosen = [set(text.split()) for text in known], []
+    while left:
+        counts: dict[str, int] = {}
+        for words in left:
+            for w in words:
+                counts[w] = counts.get(w, 0) + len(w)
+        best = max(sorted(counts), key=counts.__getitem__)
+        chosen.append(best)
+        left = [words for words in left if best not in words]
+    return chosen
+
+
+def recognised(docs: DataFrame, known: Mapping[str, str], id_col: str = "doc_id", text_col: str = "text", head: int = 2) -> DataFrame:
+    """(doc_id, place, sentence_id) of the known sentences, wherever their words stand in a row; of those that begin at one word the longest."""
+    begin = lambda text: " ".join(text.split()[:head])
+    table = docs.sparkSession.createDataFrame(sorted((begin(t), t, n) for t, n in known.items()), "head string, sentence string, sentence_id string")
+    heads = sorted({begin(t) for t in known})
+    if min(len(t.split()) for t in known) < head:
+        raise ValueError(f"known sentences have {head} words at least")
+    rows = id_text(docs, id_col, text_col).filter(F.col("text").rlike("(?i)" + "|".join(triggers(known)))).distinct()
+    rows = rows.select("doc_id", F.concat(F.lit("| "), normalised(F.col("text")), F.lit(" ")).alias("normal"))
+    # pieces begin where a known sentence may; their lengths give the places
+    rows = rows.withColumn("pieces", F.split("normal", "(?= (?:" + "|".join(heads) + ") )")).filter(F.size("pieces") > 1)
+    rows = rows.withColumn("lengths", F.transform("pieces", F.length)).select("doc_id", "normal", "lengths", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)).alias("k"))
+    rows = rows.withColumn("at", F.aggregate(F.slice("lengths", 1, F.col("k")), F.lit(0), lambda s, x: s + x))
+    first = F.substring("normal", F.col("at") + 2, F.lit(max(map(len, heads)) + 1))  # heads may overlap, so that a piece ends before its own does
+    rows = rows.withColumn("head", F.array_join(F.slice(F.split(first, " ", head + 1), 1, head), " "))
+    # the table of known sentences is a parameter of the call and is sent with the plan: its size is bounded by it
+    found = rows.join(F.broadcast(table), "head").filter(F.substring("normal", F.col("at") + 1, F.length("sentence") + 2) == F.concat(F.lit(" "), F.col("sentence"), F.lit(" ")))
+    best = found.groupBy("doc_id", F.xxhash64("normal").alias("row"), "at").agg(F.max_by("sentence_id", F.length("sentence")).alias("sentence_id"))
+    return best.select("doc_id", F.struct("row", "at").alias("place"), "sentence_id")
+
+
+def recognise(docs: DataFrame, known: Mapping[str, str] | None = None, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_sentences (known ones), sentence_ids in the text's order, licenses (sorted, distinct), of texts with a known sentence.
+
+    Null and empty texts: no row. Empty table: no rows. Repeated rows: taken as one; other rows of one id:
+    one after another. A licence is found when one of its rules fits: its identifiers in this order, and
+    none of those that must be absent.
+    """
+    packaged = vocabulary()
+    known, rules = known or packaged[0], rules or packaged[1]
+    each = recognised(docs, known, id_col, text_col).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "sentence_id"))).alias("found"))
+    each = each.select("doc_id", F.transform("found", lambda x: x["sentence_id"]).alias("sentence_ids"))
+    has = lambda ids: F.arrays_overlap("sentence_ids", F.array(*map(F.lit, ids)))
+    fits = lambda ids, absent: follows(F.col("sentence_ids"), ids) & (~has(absent) if absent else F.lit(True)) if len(ids) > 1 or absent else has(ids)
+    fitting = F.array(*(F.when(fits(ids, absent), F.lit(name)) for name, ids, absent in rules))
+    return each.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), "sentence_ids", F.sort_array(F.array_distinct(F.array_compact(fitting))).alias("licenses"))

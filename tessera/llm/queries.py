@@ -51,6 +51,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(documents(spark, sf_dir)).select("doc_id", "n_sentences", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " ").alias("licenses"))
+
+
+def op8_license_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).select("doc_id", "n_sentences", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " ").alias("licenses"))
 
 
@@ -67,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op8_license_scan_wrapped, op9_sentencepiece, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op8_license_scan_lines, op8_license_scan_wrapped, op9_sentencepiece, op10_sharding)}
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -162,6 +166,36 @@ with known(normal, sentence_id) as (values {known}),
 select doc_id, n_sentences, sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x is not null))), ' ') as licenses from f"""
 
 
+def _recognised_sql() -> str:
+    """The known sentences and rules are tables here too; words are compared at each place, and a rule is walked through the places of its identifiers."""
+    known, rules = licenses.vocabulary()
+    table = ", ".join(f"('{text}', '{name}')" for text, name in known.items())
+    steps = ", ".join(f"({k}, '{name}', {i}, '{x}', {len(ids)})" for k, (name, ids, _) in enumerate(rules) for i, x in enumerate(ids, 1))
+    absent = ", ".join(f"({k}, '{x}')" for k, (_, _, out) in enumerate(rules) for x in out)
+    return rf"""
+with recursive known(sentence, sentence_id) as (values {table}),
+     steps(rule, license, step, sentence_id, n) as (values {steps}),
+     absent(rule, sentence_id) as (values {absent}),
+     d as (select distinct doc_id, text from documents where text is not null),
+     t as (select doc_id, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) as normal from d),
+     h as (select doc_id, string_split(normal, ' ') as words, sentence, sentence_id, len(string_split(sentence, ' ')) as m
+           from t join known on contains(' ' || normal || ' ', ' ' || sentence || ' ')),
+     p as (select doc_id, words, sentence, sentence_id, m, unnest(range(1, len(words) - m + 2)) as pos from h),
+     o as (select doc_id, pos, arg_max(sentence_id, m) as sentence_id from p where words[pos] = split_part(sentence, ' ', 1) and array_to_string(words[pos:pos + m - 1], ' ') = sentence group by doc_id, pos),
+     walk(doc_id, rule, step, pos) as (
+        select doc_id, rule, 1, min(pos) from o join steps using (sentence_id) where step = 1 group by doc_id, rule
+        union all
+        select w.doc_id, w.rule, w.step + 1, (select min(o.pos) from o where o.doc_id = w.doc_id and o.pos > w.pos and o.sentence_id = s.sentence_id)
+        from walk w join steps s on s.rule = w.rule and s.step = w.step + 1
+        where exists (select 1 from o where o.doc_id = w.doc_id and o.pos > w.pos and o.sentence_id = s.sentence_id)),
+     fit as (select distinct w.doc_id, s.license from walk w join steps s on s.rule = w.rule and s.step = w.step and s.n = w.step
+             where not exists (select 1 from absent a join o on o.sentence_id = a.sentence_id where a.rule = w.rule and o.doc_id = w.doc_id)),
+     l as (select doc_id, string_agg(license, ' ' order by license) as licenses from fit group by doc_id),
+     f as (select doc_id, count(*) as n_sentences, string_agg(sentence_id, ' ' order by pos) as sentence_ids from o group by doc_id)
+select doc_id, n_sentences, sentence_ids, coalesce(licenses, '') as licenses from f left join l using (doc_id)"""
+
+
 ORACLES["op7_url_filter"] = _url_sql()
-ORACLES["op8_license_scan"] = _license_sql()
+ORACLES["op8_license_scan"] = _recognised_sql()
+ORACLES["op8_license_scan_lines"] = _license_sql()
 ORACLES["op8_license_scan_wrapped"] = _wrapped_sql()
