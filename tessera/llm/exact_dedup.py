@@ -62,11 +62,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops, all columns kept.
 
-    The ids and digests that go are a written table: below Spark's threshold they are broadcast and no
-    text moves; beyond it, texts are shuffled once, by id and digest.
+    The ids that go are a written table: below Spark's threshold they are broadcast and no text moves;
+    beyond it, texts are shuffled once, by id. Only where rows of one id differ in text, so that some
+    stay and others go, digests are looked up as well.
     """
     judged, tables = _judged(docs, id_col, text_col)
-    gone = staged(judged.filter(~F.col("kept")).select("doc_id", F.unhex("text_sha256").alias("digest")).distinct(), "gone")
-    cleared(*tables)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _digest(docs[text_col]).alias("digest"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["digest"] == gone["digest"]), "left_anti").select("row.*")
+    ids = staged(judged.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all")).filter(~F.col("all")), "ids")
+    gone = staged(ids.filter(~F.col("some")).select("doc_id").sort("doc_id"), "gone")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    mixed = ids.filter("some").select(F.col("doc_id").alias("id"))
+    if not mixed.isEmpty():
+        off = staged(judged.filter(~F.col("kept")).join(mixed, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", F.unhex("text_sha256").alias("digest")).distinct(), "mixed")
+        rows = rows.withColumn("digest", _digest(F.col("text")))
+        rows = rows.join(off, rows["doc_id"].eqNullSafe(off["doc_id"]) & (rows["digest"] == off["digest"]), "left_anti")
+    cleared(*tables, ids)
+    return rows.select("row.*")

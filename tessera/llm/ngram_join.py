@@ -269,8 +269,8 @@ def _rest(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     Of a prefix token's nodes only pairs of fitting sizes meet: a set of n is in a class by log n, and
     meets those of its own and the next class. Large groups are cut into blocks, each of which meets each.
-    What stands before a shared token in either prefix is not in the other set, or is shared as well;
-    where it isn't, its number bounds the intersection.
+    What stands before the first token that two prefixes share is not in the other set, so that the places
+    of that token bound the intersection; at later tokens the bound may drop the pair without loss.
     """
     side = lambda n: F.ceil(n / SIDE_NODES).cast("int")
     own = sets.join(labels, "doc_id").select("doc_id", "n", "label", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"), F.col("times").alias("times"))))
@@ -280,16 +280,14 @@ def _rest(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     step = math.log(100 / percent) if percent < 100 else 1e-9
     own = staged(own.join(split, ["token", "part"]).withColumn("class", F.floor(F.log("n") / step + 1e-6).cast("long")), "apart")
     every = F.sequence(F.lit(0), side(F.col("times")) - 1)
-    x = own.select("token", "class", F.col("part").alias("i"), F.explode(every).alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "label")))
+    # of the smaller set of a pair that the bound below lets through, only the first places can be it
+    x = own.filter(F.col("place") * (100 + percent) <= F.col("n") * (100 - percent)).select("token", "class", F.col("part").alias("i"), F.explode(every).alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "label")))
     y = own.select("token", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"), F.explode(every).alias("i"), F.col("part").alias("j"), *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "place", "label")))
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("label_a") != F.col("label_b"))
-    pairs = x.join(y, ["token", "class", "i", "j"]).filter(smaller & fits).groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-    # the last token that two prefixes share: what both have of its predecessors is all counted, as they share no token before their first
-    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
-    left = F.least(F.col("n_a") - F.col("last_a") - 1, F.col("n_b") - F.col("last_b") - 1)
-    pairs = pairs.filter((F.col("shared") + left) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    links = verified(staged(pairs.select("a", "b"), "pairs"), sets, percent)
+    bound = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    pairs = x.join(y, ["token", "class", "i", "j"]).filter(smaller & fits & bound).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    links = verified(staged(pairs, "pairs"), sets, percent)
     cleared(split, own)
     return links
 

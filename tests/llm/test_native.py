@@ -88,6 +88,12 @@ def test_exact_dedup(spark, docs, threshold):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0 and exact_dedup.drop_copies(empty(spark)).count() == 0
 
 
+def test_ids_of_several_texts(spark, threshold):
+    """Of rows of one id, each stays or goes as its own text does."""
+    rows = spark.createDataFrame([(1, "A"), (1, "b"), (2, "a"), (3, "c"), (3, "c"), (None, "C"), (None, "d")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_copies(rows).collect()) == [(0, "d"), (1, "b"), (2, "a"), (3, "c"), (3, "c")]
+
+
 def test_exact_dedup_moves_no_text(spark, docs, threshold):
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
     joins = exact_dedup.exact_dedup(docs)._jdf.queryExecution().sparkPlan().toString()
