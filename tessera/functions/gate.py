@@ -45,28 +45,43 @@ def covers(sig: Column, words: Column) -> Column:
     return (F.size(sig) > 0) & F.forall(sig, lambda w: F.array_contains(words, w) | F.coalesce(F.array_contains(had, value(w)), F.lit(False)))
 
 
+def features(title: Column) -> Column:
+    """struct of what the gate looks at in a title: key, squashed, tokens, significant, values, subtitle.
+
+    Made once for each title, below whatever join brings pairs together.
+    """
+    key = norm(title)
+    words = tokens(key)
+    sub = F.array_sort(significant(tokens(norm(subtitle(title)))))
+    return F.struct(key.alias("key"), F.replace(key, F.lit(" "), F.lit("")).alias("squashed"), words.alias("tokens"), significant(words).alias("significant"), values(words).alias("values"), sub.alias("subtitle"))
+
+
 def numbering_variant(owned: Column, candidate: Column) -> Column:
-    """Titles that differ by a number that one of them leaves out, with equal subtitles."""
-    a, b = significant(tokens(norm(owned))), significant(tokens(norm(candidate)))
+    """Titles (as features) that differ by a number that one of them leaves out, with equal subtitles."""
+    a, b = owned["significant"], candidate["significant"]
     only_a, only_b = F.array_except(a, b), F.array_except(b, a)
     numbers = lambda x: F.forall(x, lambda w: value(w).isNotNull())
-    sub = lambda t: F.array_sort(significant(tokens(norm(subtitle(t)))))
-    return (F.size(only_a) + F.size(only_b) > 0) & numbers(only_a) & numbers(only_b) & ((F.size(only_a) == 0) | (F.size(only_b) == 0)) & (F.size(sub(owned)) > 0) & (sub(owned) == sub(candidate))
+    one_side = (F.size(only_a) + F.size(only_b) > 0) & ((F.size(only_a) == 0) | (F.size(only_b) == 0))
+    return one_side & numbers(only_a) & numbers(only_b) & (F.size(owned["subtitle"]) > 0) & (owned["subtitle"] == candidate["subtitle"])
 
 
 def judged(owned: Column, candidate: Column, years: Column | None = None, candidate_year: Column | None = None, later_ok: bool = False) -> Column:
-    """struct(ok, score) of a candidate for one owned title; years: the years in which the owned one came out.
+    """As judged_features, for titles."""
+    return judged_features(features(owned), features(candidate), years, candidate_year, later_ok)
+
+
+def judged_features(owned: Column, candidate: Column, years: Column | None = None, candidate_year: Column | None = None, later_ok: bool = False) -> Column:
+    """struct(ok, score) of a candidate for one owned title, both as features; years: the years in which the owned one came out.
 
     Null where the years contradict: such a title doesn't count at all. Missing years refuse nothing.
     """
-    q, c = norm(owned), norm(candidate)
-    qt, ct = tokens(q), tokens(c)
+    qt, ct = owned["tokens"], candidate["tokens"]
     both = F.size(F.array_intersect(qt, ct))
-    squashed = F.replace(q, F.lit(" "), F.lit("")) == F.replace(c, F.lit(" "), F.lit(""))
+    squashed = owned["squashed"] == candidate["squashed"]
     variant = numbering_variant(owned, candidate)
     extra = values(F.array_except(ct, qt))
-    sequel = ~variant & (F.size(extra) > 0) & ~F.array_contains(extra, 1) & (F.size(values(qt)) == 0)
-    ok = squashed | ((covers(significant(qt), ct) | variant) & ~sequel)
+    sequel = ~variant & (F.size(extra) > 0) & ~F.array_contains(extra, 1) & (F.size(owned["values"]) == 0)
+    ok = squashed | ((covers(owned["significant"], ct) | variant) & ~sequel)
     score = F.when(squashed, F.lit(2.0)).otherwise(both / F.size(qt) + both / F.size(ct))
     out = F.struct(ok.alias("ok"), score.cast("double").alias("score"))
     valid = (F.size(qt) > 0) & (F.size(ct) > 0)

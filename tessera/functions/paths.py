@@ -55,10 +55,15 @@ def file_title(title: Column) -> Column:
     return F.rtrim(F.regexp_replace(title, r"""[\\/:*?"<>|']""", "_"))
 
 
-def guid(key: Column) -> Column:
-    """A stable id of a key in the form of a UUID, from its SHA-1."""
-    h = F.sha1(key)
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+# Fixed value: the name space of the ids of exported games.
+GUID_SPACE = "6c0f4b2e-9a1d-4e7c-8b3a-0b3a8b3a0b3a"
+
+
+def guid(key: Column, space: str = GUID_SPACE) -> Column:
+    """The name-based UUID (version 5) of a key in a name space; a null key counts as empty."""
+    h = F.sha1(F.concat(F.unhex(F.lit(space.replace("-", ""))), F.encode(F.coalesce(key, F.lit("")), "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
 def duration(seconds: Column) -> Column:

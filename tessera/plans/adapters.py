@@ -55,9 +55,11 @@ def norm_sql(title: str, platform: str | None = None) -> str:
 
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source rows of the catalog: a line item is a copy of a part in a source, owned (O) or wished for (F)."""
-    rows = table(spark, sf_dir, "lineitem").join(titles(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
+    # a title's key is made once for the part, below the join, and not for each of its line items
+    keyed = titles(spark, sf_dir).withColumn("norm_key", T.norm(F.col("title_raw"), F.col("platform")))
+    rows = table(spark, sf_dir, "lineitem").join(keyed, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
-        T.norm(F.col("title_raw"), F.col("platform")).alias("norm_key"), "platform", F.col("l_returnflag").alias("source"), F.col("l_orderkey").cast("string").alias("source_id"), F.col("title_raw").alias("title"),
+        "norm_key", "platform", F.col("l_returnflag").alias("source"), F.col("l_orderkey").cast("string").alias("source_id"), F.col("title_raw").alias("title"),
         F.col("p_brand").alias("detail"), F.when(F.col("l_linestatus") == "O", "have").otherwise("want").alias("state"),
         F.struct(F.array_position(F.array(F.lit("N"), F.lit("R"), F.lit("A")), F.col("l_returnflag")).alias("rank"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p")).alias("seq"),
     )

@@ -39,11 +39,16 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with `id` from 1 in the given order: buckets of the first column are numbered by themselves and shifted by prefix sums."""
-    bucket = F.floor(F.col(order[0]) / 1024)
-    rows = df.withColumn("_b", bucket)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    """df with `id` from 1 in the given order: buckets of the first column are numbered by themselves and shifted by prefix sums.
+
+    The sums are taken on two levels, within blocks of 4096 buckets and over the blocks: one task sees a
+    row for each block only, which is one for four million values of the first column.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(order[0]) / 1024))
+    buckets = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.floor(F.col("_b") / 4096))
+    above = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = buckets.groupBy("_s").agg(F.sum("_n").alias("_n")).select("_s", above(Window.orderBy("_s")).alias("_blocks"))
+    starts = buckets.withColumn("_inside", above(Window.partitionBy("_s").orderBy("_b"))).join(blocks, "_s").select("_b", (F.col("_blocks") + F.col("_inside")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
     return rows.withColumn("_place", place).join(starts, "_b").withColumn("id", F.col("_before") + F.col("_place")).drop("_b", "_before", "_place")
 

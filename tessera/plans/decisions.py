@@ -179,3 +179,9 @@ def addon_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     parents = p.filter("p_size >= 40").groupBy("p_name").agg(F.min("p_partkey").alias("parent"))
     return p.filter("p_size < 10").select(F.col("p_partkey").alias("child"), "p_name").join(parents, "p_name").select("child", "parent")
+
+
+@query(f"""with h as (select p_partkey, sha1(from_hex('{P.GUID_SPACE.replace('-', '')}') || encode(p_name)) as h from part)
+select p_partkey, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || translate(substring(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substring(h, 18, 3) || '-' || substring(h, 21, 12) as guid from h""")
+def stable_guid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", P.guid(F.col("p_name")).alias("guid"))

@@ -84,8 +84,8 @@ def gate_sql(pairs: str, owned: str, candidate: str) -> str:
 {gate_sql('pairs', 't', 'u')} select a, b, ok, cast(round(score * 1000000) as bigint) as score from q3""")
 def gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.titles(spark, sf_dir)
-    left, right = t.select(F.col("p_partkey").alias("a"), F.col("title_raw").alias("t"), "p_brand", "p_size"), t.select(F.col("p_partkey").alias("b"), F.col("title_raw").alias("u"), "p_brand", "p_size")
-    pairs = left.join(right, ["p_brand", "p_size"]).select("a", "b", gate.judged(F.col("t"), F.col("u")).alias("g"))
+    side = lambda key, f: t.select(F.col("p_partkey").alias(key), gate.features(F.col("title_raw")).alias(f), "p_brand", "p_size")
+    pairs = side("a", "t").join(side("b", "u"), ["p_brand", "p_size"]).select("a", "b", gate.judged_features(F.col("t"), F.col("u")).alias("g"))
     return pairs.filter("g is not null").select("a", "b", "g.ok", F.round(F.col("g.score") * 1000000).cast("long").alias("score"))
 
 
@@ -93,9 +93,9 @@ def gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 {gate_sql('pairs', 't', 'u')} select a, -max((score, -b))[2] as b, cast(round(max((score, -b))[1] * 1000000) as bigint) as score from q3 where ok group by a""")
 def gated_match_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.titles(spark, sf_dir).withColumn("block", F.struct("p_name", "p_brand"))
-    owned = t.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("a"), F.col("title_raw").alias("t"), "block")
-    candidates = t.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("b"), F.col("title_raw").alias("u"), "block")
-    best = I.gated(owned, candidates, "block", gate.judged(F.col("t"), F.col("u")), "a", "b")
+    owned = t.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("a"), gate.features(F.col("title_raw")).alias("t"), "block")
+    candidates = t.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("b"), gate.features(F.col("title_raw")).alias("u"), "block")
+    best = I.gated(owned, candidates, "block", gate.judged_features(F.col("t"), F.col("u")), "a", "b")
     return best.select("a", "b", F.round(F.col("score") * 1000000).cast("long").alias("score"))
 
 

@@ -128,3 +128,11 @@ def test_games_of_files(spark):
     rows = spark.createDataFrame([(i, p.split("/")[0], p) for i, p in files.items()], "id long, system string, path string")
     got = {r.id: r.game for r in games(rows, ["gba", "zip", "chd", "bin"]).collect()}
     assert got == {1: "Foo", 2: "Foo", 3: "Foo", 4: "A", 5: "B", 6: "C", 7: "", 8: "Deep Game", 9: "Loose", 10: "Game", 11: ""}
+
+
+def test_guid_is_a_name_based_uuid(spark):
+    import uuid
+
+    for key in ("doom", "", "Ôkami 2", "x" * 500):
+        assert one(spark, paths.guid(F.lit(key))) == str(uuid.uuid5(uuid.UUID(paths.GUID_SPACE), key))
+    assert one(spark, paths.guid(F.lit("doom"))) == "be4ba5f8-5d41-5a06-8d07-53ff9a33f714"
