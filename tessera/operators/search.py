@@ -85,3 +85,39 @@ def page_after(rows: DataFrame, key: str, after, limit: int) -> DataFrame:
 def hidden(override: Column, by_type: Column, by_genre: Column) -> Column:
     """Whether an entry is no game: a hand-made decision holds both ways, else its type or a genre tells."""
     return F.coalesce(override == "hide", F.coalesce(by_type, F.lit(False)) | F.coalesce(by_genre, F.lit(False)))
+
+
+#: What `status` and `identified` may be, and what each asks of an entry.
+STATUS = {"all": "not utility", "owned": "not utility and owned = 1", "wanted": "not utility and owned = 0", "utilities": "utility"}
+IDENTIFIED = {"all": "true", "identified": "identified", "unidentified": "not identified"}
+
+
+def matching(
+    entries: DataFrame, filters: Filters, q: str = "", query: str = "", source: str | None = None, platform: str | None = None, has_kind: str | None = None, include: Sequence[str] = (), exclude: Sequence[str] = (),
+    status: str = "all", identified: str = "all", texts: Sequence[str] = ("platform",), numbers: Sequence[str] = ("score",),
+) -> DataFrame:
+    """The entries that a grid query asks for; its total is their count.
+
+    entries: title, platform, sources and kinds (arrays), owned (1 or 0), identified and utility (booleans),
+    and the fields that `query` may name. Null fields hold no condition. Arguments that nobody knows are
+    errors, not everything.
+    """
+    if status not in STATUS or identified not in IDENTIFIED:
+        raise ValueError(f"status is one of {sorted(STATUS)}, identified one of {sorted(IDENTIFIED)}")
+    held = contains(F.col("title"), q) & parse(query, F.col("title"), {t: F.col(t) for t in texts}, {n: F.col(n) for n in numbers})
+    held = held & F.expr(STATUS[status]) & F.expr(IDENTIFIED[identified]) & filters.all(include, exclude)
+    for column, value in (("sources", source), ("kinds", has_kind)):
+        if value:
+            held = held & F.array_contains(column, value)
+    return entries.filter(held & (F.col("platform") == platform) if platform else held)
+
+
+def grid(entries: DataFrame, filters: Filters, sort: Sequence[str] = ("title",), limit: int = 60, offset: int = 0, key: Sequence[str] = ("norm_key", "platform"), **asked) -> DataFrame:
+    """A page of the entries that match; sort: columns, with a minus for falling order, and `key` settles ties."""
+    rows = matching(entries, filters, **asked)
+    unknown = {s.lstrip("-") for s in sort} - set(rows.columns)
+    if unknown or limit < 0 or offset < 0:
+        raise ValueError(f"no columns to sort by: {sorted(unknown)}; limit and offset are 0 or more")
+    column = lambda s: F.lower(s) if dict(rows.dtypes)[s] == "string" else F.col(s)
+    order = [column(s[1:]).desc_nulls_last() if s[:1] == "-" else column(s).asc_nulls_last() for s in sort]
+    return page(rows, [*order, *map(F.col, key)], limit, offset)

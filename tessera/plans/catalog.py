@@ -68,12 +68,42 @@ def filename_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.titles(spark, sf_dir).select("p_partkey", *(f(n).alias(name) for name, f in (("title", N.bare_title), ("region", N.region), ("languages", N.languages), ("version", N.version), ("revision", N.revision), ("disc", N.disc), ("verified", N.verified))))
 
 
-def _case(column: str, rules) -> str:
-    return "case " + " ".join(f"when regexp_matches(lower({column}), '{p}') then '{label}'" for label, p in rules) + " end"
+def _in(x: str, values) -> str:
+    return f"{x} in (" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-@query(f"""with {A.TITLES_SQL} select p_partkey, {_case('title_raw', N.RELEASES)} as by_name, {_case("['roms/4 Homebrew/', 'roms/', 'Translations/', 'ROM Hacks/'][p_partkey % 4 + 1] || title_raw", N.PATHS)} as by_path,
-try_cast(nullif(regexp_extract(title_raw, '\\(((?:19|20)[0-9]{{2}})\\)', 1), '') as int) as year from titles""")
+_KINDS = ("Translation", *N.TAGS)
+_WORD = "regexp_replace(regexp_extract(g, '^([^ ,]*)', 1), '([^0-9])[0-9]+$', '\\1')"
+_GROUP_KIND = f"""case when regexp_matches(g, '^t[+-][a-z]{{2,4}}$') or {_in("regexp_extract(g, '^([a-z]+) v?[. ]*[0-9]', 1)", N.TONGUES)} or starts_with(g, 'translat') then 'Translation'
+  {' '.join(f"when {_in('g', tags)} or {_in(_WORD, tags)} or {_in(f"regexp_extract({_WORD}, '^([a-z]+)-', 1)", tags)} then '{kind}'" for kind, tags in N.TAGS.items())} end"""
+_FLAG_KIND = "case when regexp_matches(g, '^t[+-] *[a-z]{2,4}') then 'Translation' " + " ".join(f"when regexp_extract(g, '^([a-z])[0-9]*$', 1) = '{c}' then '{k}'" for c, k in N.CODES.items()) + " end"
+_RELEASE = "(with kinds as (select unnest(list_concat(list_transform(regexp_extract_all(low, '\\(([^()]*)\\)', 1), lambda g: {group}), list_transform(regexp_extract_all(low, '\\[([^\\[\\]]*)\\]', 1), lambda g: {flag}))) as kind) select arg_min(kind, {order}) from kinds where kind is not null)".replace("{group}", _GROUP_KIND).replace("{flag}", _FLAG_KIND).replace("{order}", "list_position([" + ", ".join(f"'{k}'" for k in _KINDS) + "], kind)")
+_PATH = "case " + " ".join("when " + " or ".join(f"list_contains(words, '{w}')" for w in tags) + f" then '{kind}'" for kind, tags in N.FOLDERS.items()) + " end"
+#: Tags that the titles of the test tables get besides their own.
+_TAGGED = ["", " (Hackers)", " (Demolition)", " (HB)", " (Beta 2)", "[t1]", " [T+En]", " (French v1.1)", " (Proto-2)", " (JU)", " (USA, Canada)", " (Trade Demo)", " (19xx)"]
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.titles(spark, sf_dir).withColumn("title_raw", F.concat("title_raw", F.get(F.array(*map(F.lit, _TAGGED)), (F.col("p_partkey") % len(_TAGGED)).cast("int"))))
+
+
+@query(f"""with {A.TITLES_SQL}, tagged as (select p_partkey, lower(title_raw || [{', '.join(f"'{x}'" for x in _TAGGED)}][p_partkey % {len(_TAGGED)} + 1]) as low from titles) select p_partkey, {_RELEASE} as release_type from tagged""")
+def release_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir).select("p_partkey", N.release_type(F.col("title_raw")).alias("release_type"))
+
+
+@query(f"""with {A.TITLES_SQL}, tagged as (select p_partkey, title_raw || [{', '.join(f"'{x}'" for x in _TAGGED)}][p_partkey % {len(_TAGGED)} + 1] as title_raw from titles),
+n as (select *, {_group_sql(f'^({_R})(, ?({_R}))*$')} as named, list_filter(regexp_extract_all(title_raw, '\\(([^()]*)\\)', 1), lambda g: regexp_matches(g, '^[{"".join(N.REGION_CODES)}]{{1,3}}$'))[1] as coded from tagged)
+select p_partkey, case when named <> '' then array_to_string(string_split_regex(named, ', ?'), '+') when coded is not null then array_to_string(list_transform(string_split(coded, ''), lambda c: case c {' '.join(f"when '{k}' then '{v}'" for k, v in N.REGION_CODES.items())} end), '+') else '' end as regions,
+  array_to_string(regexp_extract_all(title_raw, '\\[([^\\[\\]]*)\\]', 1), '+') as flags from n""")
+def region_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("title_raw")
+    return _tagged(spark, sf_dir).select("p_partkey", F.array_join(N.regions(name), "+").alias("regions"), F.array_join(N.flags(name), "+").alias("flags"))
+
+
+@query(f"""with {A.TITLES_SQL}, low as (select *, lower(title_raw) as low, string_split_regex(regexp_replace(lower(['roms/4 Homebrew/', 'roms/', 'Translations/', 'ROM Hacks/'][p_partkey % 4 + 1] || title_raw), '(home)[ _-]+(brew)|(rom)[ _-]+(hacks)', '\\1\\2\\3\\4', 'g'), '[^a-z]+') as words from titles)
+select p_partkey, {_RELEASE} as by_name, {_PATH} as by_path,
+try_cast(nullif(regexp_extract(title_raw, '\\(((?:19|20)[0-9]{{2}})\\)', 1), '') as int) as year from low""")
 def release_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(A.pick(["roms/4 Homebrew/", "roms/", "Translations/", "ROM Hacks/"], "cast(p_partkey % 4 as int)"), F.col("title_raw"))
     return A.titles(spark, sf_dir).select("p_partkey", N.release_type(F.col("title_raw")).alias("by_name"), N.path_type(path).alias("by_path"), N.year(F.col("title_raw")).alias("year"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.functions import gate, titles as T
+from tessera.functions import eras as E, gate, titles as T
 from tessera.operators import identity as I
 from tessera.sources.tables import table
 
@@ -193,3 +193,46 @@ def owned_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_kinds_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.countDistinct("o_orderpriority").alias("kinds")).filter("kinds < 4")
+
+
+# platforms of parts and of what they are matched with, from both tables' labels and canonical names
+_LABELS = sorted({*E.ERAS, *E.GENERATIONS, "pc", "unheard of"})
+_TOKEN_SQL = "(case trim(lower({p})) " + " ".join(f"when '{k}' then '{v}'" for k, v in E.TOKENS.items()) + " else trim(lower({p})) end)"
+_ERA_SQL = f"""eras(token, first, last) as (values {', '.join(f"('{E.TOKENS.get(k, k)}', {a}, {b})" for k, (a, b) in E.ERAS.items())}),
+gens(token, gen) as (values {', '.join(f"('{k}', {v})" for k, v in E.GENERATIONS.items())}),
+labels as (select unnest([{', '.join(f"'{x}'" for x in _LABELS)}]) as label, unnest(range({len(_LABELS)})) as k),
+p as (select p_partkey as id, l.label, case when p_size % 9 <> 0 then 1975 + p_partkey % 60 end as year from part join labels l on l.k = p_partkey % {len(_LABELS)}),
+t as (select id, label, year, {_TOKEN_SQL.format(p='label')} as token from p)"""
+
+
+def _era_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.array(*map(F.lit, _LABELS))
+    at = lambda c: F.get(labels, (c % len(_LABELS)).cast("int"))
+    key = F.col("p_partkey")
+    theirs = F.when(key % 11 != 0, F.transform(F.sequence(F.lit(1), (key % 3 + 1).cast("int")), lambda i: at(key + i * 7)))
+    return table(spark, sf_dir, "part").select(key.alias("id"), at(key).alias("label"), F.when(F.col("p_size") % 9 != 0, 1975 + key % 60).cast("int").alias("year"), theirs.alias("theirs"))
+
+
+@query(f"with {_ERA_SQL} select id, label, year, first, last, coalesce(year > last + {E.TAIL}, false) as impossible from t left join eras using (token)")
+def era_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label")
+    return _era_parts(spark, sf_dir).select("id", "label", "year", E.first_year(label).alias("first"), E.last_year(label).alias("last"), E.impossible(label, F.col("year")).alias("impossible"))
+
+
+@query(f"""with {_ERA_SQL}, x as (select t.id, unnest(range(1, t.id % 3 + 2)) as i from t where t.id % 11 <> 0),
+y as (select x.id, {_TOKEN_SQL.format(p='l.label')} as token from x join labels l on l.k = (x.id + x.i * 7) % {len(_LABELS)}),
+z as (select y.id, min(gen) as earliest, list(token) as tokens from y left join gens using (token) group by y.id)
+select t.id, g.gen as generation, coalesce(not list_contains(z.tokens, t.token) and g.gen < z.earliest, false) as suspect, z.tokens is null or list_contains(z.tokens, t.token) as hardware_ok from t left join gens g using (token) left join z using (id)""")
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, theirs = F.col("label"), F.col("theirs")
+    return _era_parts(spark, sf_dir).select("id", E.generation(label).alias("generation"), E.contamination_suspect(label, theirs).alias("suspect"), E.hardware_ok(F.array(label), theirs).alias("hardware_ok"))
+
+
+@query(f"""with {_ERA_SQL}, c as (select l_partkey as id, case when l_linenumber % 4 <> 0 then year(l_shipdate) end as year, l_orderkey * 10 + l_linenumber as rank from lineitem),
+g as (select t.id, coalesce(e.last < 9999, false) as bound, arg_min(rank, (c.year, c.rank)) filter (c.year is not null) as earliest, min(rank) as first from t join c using (id) left join eras e using (token) group by all)
+select id, case when bound and earliest is not null then earliest else first end as picked from g""")
+def era_aware_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.struct(F.when(F.col("l_linenumber") % 4 != 0, F.year("l_shipdate")).alias("year"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank")).alias("c"))
+    # the candidates of a part that can be picked are two: the earliest dated and the first; no list of all is made
+    best = c.groupBy("id").agg(F.array_compact(F.array(F.min(F.when(F.col("c.year").isNotNull(), F.col("c"))), F.min_by("c", "c.rank"))).alias("cs"))
+    return _era_parts(spark, sf_dir).join(best, "id").select("id", E.era_aware_pick(F.col("cs"), F.col("label"))["rank"].alias("picked"))

@@ -133,6 +133,43 @@ def test_games_of_files(spark):
 def test_guid_is_a_name_based_uuid(spark):
     import uuid
 
+    from tessera.functions import paths
+
     for key in ("doom", "", "Ôkami 2", "x" * 500):
         assert one(spark, paths.guid(F.lit(key))) == str(uuid.uuid5(uuid.UUID(paths.GUID_SPACE), key))
     assert one(spark, paths.guid(F.lit("doom"))) == "be4ba5f8-5d41-5a06-8d07-53ff9a33f714"
+
+
+@pytest.mark.parametrize("name, want", [
+    ("Sonic (HB)", "Homebrew"), ("Tetris (19xx)", "Homebrew"), ("Puzzle (Public Domain)", "Homebrew"), ("Final (Taikenban)", "Demo"), ("Zork [t1]", "Hack"), ("Mother (French v1.1)", "Translation"), ("Mother [T+Fre1.2]", "Translation"),
+    ("Uplink (Hackers)", None), ("Derby (Demolition)", None), ("Prototype", None), ("X (Beta 2)", "Prototype"), ("X (Proto-1) [!]", "Prototype"), ("X (Hack, by Y)", "Hack"), ("X (Taito)", None), ("X (T-En) (Hack)", "Translation"), ("X [p2]", "Unlicensed"), ("X (Pre-Release)", "Prototype"),
+])
+def test_release_tags(spark, name, want):
+    assert one(spark, names.release_type(F.lit(name))) == want
+
+
+@pytest.mark.parametrize("name, want", [("A (U)", ["USA"]), ("A (JU) [!]", ["Japan", "USA"]), ("A (Netherlands)", ["Netherlands"]), ("A (USA, Canada)", ["USA", "Canada"]), ("A (Hong Kong)", ["Hong Kong"]), ("A (Rev A)", []), ("A", [])])
+def test_regions(spark, name, want):
+    assert one(spark, names.regions(F.lit(name))) == want
+
+
+def test_eras(spark):
+    from tessera.functions import eras
+
+    ask = lambda p, y: one(spark, eras.impossible(F.lit(p), F.lit(y).cast("int")))
+    assert [ask("NES ", 2000), ask("nes", 1999), ask("nes", 1950), ask("pc", 2050), ask("nes", None), ask("switch", 2050), ask("gb", 2006)] == [True, False, False, False, False, False, True]
+    suspect = lambda p, of: one(spark, eras.contamination_suspect(F.lit(p), F.array(*map(F.lit, of)).cast("array<string>")))
+    assert [suspect("gameboy", ["ps4", "pc"]), suspect("gameboy", ["pc"]), suspect("gameboy", ["gb", "ps4"]), suspect("pc", ["ps4"]), suspect("ps4", ["nes"]), suspect("nes", [])] == [True, False, False, False, False, False]
+
+
+def test_unknown_grid_arguments_are_errors(spark):
+    from tessera.operators import search
+
+    rows = spark.createDataFrame([("a 100%", "pc", ["s"], ["cover"], 1, True, False, 5, "k"), ("b_c", "gba", ["t"], None, 0, False, False, None, "l")], "title string, platform string, sources array<string>, kinds array<string>, owned int, identified boolean, utility boolean, score int, norm_key string")
+    none = search.Filters({}, {})
+    titles = lambda **asked: [r.title for r in search.grid(rows, none, **asked).collect()]
+    assert titles() == ["a 100%", "b_c"] and titles(q="0%") == ["a 100%"] and titles(q="_") == ["b_c"] and titles(sort=["-score"]) == ["a 100%", "b_c"]
+    assert titles(status="wanted") == ["b_c"] and titles(has_kind="cover") == ["a 100%"] and titles(identified="unidentified") == ["b_c"] and titles(query="score:>9") == [] and titles(limit=1, offset=1) == ["b_c"]
+    for wrong in ({"status": "some"}, {"identified": "x"}, {"include": ["no_such"]}, {"sort": ["-nothing"]}, {"limit": -1}):
+        with pytest.raises(ValueError):
+            titles(**wrong)
