@@ -8,7 +8,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower
+from .common import LOWER, UPPER, ascii_lower
 
 
 class Rule(NamedTuple):
@@ -33,16 +33,20 @@ SOFT = ("ads", "bets", "bonus", "cheap", "click", "free", "pills", "prize", "tra
 SOFT_LIMIT = 2
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ://; null without one."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
+
+
 def host_of(url: Column) -> Column:
     """What stands between the first :// and the next /, ? or #, with A-Z lower-cased; empty without ://."""
-    rest = F.coalesce(F.expr("substring(url, locate('://', url) + 3)"), F.lit(""))
-    return F.when(F.coalesce(F.locate("://", url), F.lit(0)) > 0, ascii_lower(F.regexp_extract(rest, "^[^/?#]*", 0))).otherwise("")
+    return F.coalesce(ascii_lower(F.regexp_extract(_rest(url), "^[^/?#]*", 0)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to ? or #; empty without ://."""
-    rest = F.coalesce(F.expr("substring(url, locate('://', url) + 3)"), F.lit(""))
-    return F.when(F.coalesce(F.locate("://", url), F.lit(0)) > 0, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)).otherwise("")
+    return F.coalesce(F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def best_rule(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> tuple[Column, Column]:
@@ -65,10 +69,11 @@ def term_counter(strict: Sequence[str], soft: Sequence[str]):
         for term in {*strict, *soft}:
             automaton.add_word(term, term)
         automaton.make_automaton()
+        lower = str.maketrans(UPPER, LOWER)
         alike = lambda c: c.isascii() and c.isalnum()
 
         def found(url: str | None) -> tuple[int, int]:
-            url = (url or "").lower()
+            url = (url or "").translate(lower)  # of other letters some become ASCII, or two, in lower case
             terms = set()
             for end, term in automaton.iter(url):
                 first = end - len(term)

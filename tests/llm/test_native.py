@@ -167,3 +167,12 @@ def test_licenses(spark):
     assert got[8].n_sentences == 3 and got[8].sentence_ids == ["proprietary.all", "mit.released", "mit.released"]
     assert {r.doc_id: r.n_sentences for r in licenses.scan(rows.union(rows)).collect()} == {i: r.n_sentences for i, r in got.items()}
     assert licenses.scan(rows.filter("false")).count() == 0
+
+
+def test_urls_of_other_columns_and_letters(spark):
+    """Host and path come from the column that is given; letters that only become ASCII in lower case are no part of a term."""
+    rows = spark.createDataFrame([("a://İx.DE/p?q", "b://other/"), ("no host", None), (None, "")], "link string, url string")
+    got = [tuple(r) for r in rows.select(url_filter.host_of(F.col("link")), url_filter.path_of(F.col("link")), url_filter.host_of(F.col("url"))).collect()]
+    assert got == [("İx.de", "/p", "other"), ("", "", ""), ("", "", "")]
+    pages = spark.createDataFrame([(1, "x://Kasino/casıno"), (2, "x://h/CASINO"), (3, "İ casino"), (4, "x://bücher.de/win/prize")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages).collect()} == {1: "allow", 2: "block", 3: "block", 4: "block"}
