@@ -110,26 +110,31 @@ def _grid_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASKED = dict(q="e", query="score:>20 -platform:gba", source="N", include=["cross_source"], exclude=["hidden"], status="owned", identified="identified")
-_FILTERS = S.Filters({"cross_source": F.col("n_kinds") > 1, "hidden": F.col("score") > 95}, {})
+
+
+def _filters() -> S.Filters:
+    return S.Filters({"cross_source": F.col("n_kinds") > 1, "hidden": F.col("score") > 95}, {})
+
+
 _ASKED_SQL = f"""{_ENTRIES_SQL}, asked as (select * from e where contains(lower(title), 'e') and score > 20 and not contains(platform, 'gba') and list_contains(string_split(sources_summary, ','), 'N')
   and n_kinds > 1 and not score > 95 and owned = 1 and n_sources % 3 > 0 and n_sources % 7 <> 0)"""
 
 
 @query(f"with {_ASKED_SQL} select norm_key, platform, title, n_sources, score from asked order by n_sources desc, lower(title), norm_key, platform limit 50 offset 10")
 def grid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.grid(_grid_entries(spark, sf_dir), _FILTERS, sort=["-n_sources", "title"], limit=50, offset=10, **_ASKED)
+    rows = S.grid(_grid_entries(spark, sf_dir), _filters(), sort=["-n_sources", "title"], limit=50, offset=10, **_ASKED)
     return rows.select("norm_key", "platform", "title", "n_sources", "score")
 
 
 @query(f"with {_ASKED_SQL} select count(*) as total from asked")
 def grid_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.matching(_grid_entries(spark, sf_dir), _FILTERS, **_ASKED).agg(F.count(F.lit(1)).alias("total"))
+    return S.matching(_grid_entries(spark, sf_dir), _filters(), **_ASKED).agg(F.count(F.lit(1)).alias("total"))
 
 
 @query(f"with {_ENTRIES_SQL}, s as (select *, case when n_sources % 3 > 0 then 'identified' else 'unidentified' end as i, case when n_sources % 7 = 0 then 'utilities' when owned = 1 then 'owned' else 'wanted' end as s from e) select s as status, i as identified, count(*) as n from s group by s, i")
 def status_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _grid_entries(spark, sf_dir)
-    one = lambda s, i: S.matching(rows, _FILTERS, status=s, identified=i).select(F.lit(s).alias("status"), F.lit(i).alias("identified"))
+    one = lambda s, i: S.matching(rows, _filters(), status=s, identified=i).select(F.lit(s).alias("status"), F.lit(i).alias("identified"))
     parts = [one(s, i) for s in ("owned", "wanted", "utilities") for i in ("identified", "unidentified")]
     out = parts[0]
     for part in parts[1:]:
