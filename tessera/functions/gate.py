@@ -97,8 +97,15 @@ def judged_features(owned: Column, candidate: Column, years: Column | None = Non
 
 
 def best_judged(titles: Column, candidate: Column) -> Column:
-    """struct(ok, score), the best over all owned titles: accepted ones first, then by score."""
-    return F.array_max(F.transform(titles, lambda t: judged(t, candidate)))
+    """struct(ok, score) over all owned titles, in their order: one counts if its score is above the best so far, and a refused one never takes the place of an accepted one."""
+    c = features(candidate)
+
+    def step(best: Column, title: Column) -> Column:
+        own = judged_features(features(title), c)
+        better = F.coalesce((own["score"] > best["score"]) & (own["ok"] | ~best["ok"]), F.lit(False))
+        return F.when(better, own).otherwise(best)
+
+    return F.aggregate(titles, F.struct(F.lit(False).alias("ok"), F.lit(0.0).alias("score")), step)
 
 
 def confidence(matched_by: Column, anchor: Column, listed: Column, impossible: Column) -> Column:

@@ -15,7 +15,7 @@ def publish(df: DataFrame, root: str, name: str) -> str:
 
 
 def swap(spark: SparkSession, path: str, view: str) -> None:
-    """Points a view at a published folder: in one step, and only after the write succeeded."""
+    """Points this session's view at a published folder: in one step, and only after the write succeeded. Other sessions take the new path that publish() gives."""
     spark.read.parquet(path).createOrReplaceTempView(view)
 
 
@@ -30,5 +30,5 @@ def to_json(df: DataFrame, path: str) -> None:
 
 
 def to_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
-    """Each partition writes by itself; the target's key decides what an upsert replaces."""
+    """Appends; each partition writes by itself. What replaces older rows is settled before, by operators.sync.upsert."""
     df.write.jdbc(url, table, mode="append", properties=properties)

@@ -173,3 +173,16 @@ def test_unknown_grid_arguments_are_errors(spark):
     for wrong in ({"status": "some"}, {"identified": "x"}, {"include": ["no_such"]}, {"sort": ["-nothing"]}, {"limit": -1}):
         with pytest.raises(ValueError):
             titles(**wrong)
+
+
+def test_best_of_titles_keeps_the_accepted_one(spark):
+    """A title that is accepted after a refused one with a higher score doesn't win; a refused one never replaces an accepted one."""
+    judge = lambda owned, c: one(spark, gate.judged(F.lit(owned), F.lit(c)))
+    best = lambda owned, c: one(spark, gate.best_judged(F.array(*map(F.lit, owned)), F.lit(c)))
+    refused, accepted = judge("Portal Stories", "Portal Stories 2"), judge("Portal", "Portal Stories Mel Extra 1")
+    assert not refused["ok"] and best(["Portal Stories"], "Portal Stories 2") == refused
+    assert accepted["ok"] and best(["zz", "Portal"], "Portal Stories Mel Extra 1") == accepted
+    low, high = judge("Mega", "Mega Man X 1"), judge("Mega Man Legends", "Mega Man X 1")
+    assert low["ok"] and not high["ok"]
+    assert best(["Mega", "Mega Man Legends"], "Mega Man X 1") == low
+    assert best(["Mega Man Legends", "Mega"], "Mega Man X 1") == (low if low["score"] > high["score"] else high)
