@@ -7,6 +7,7 @@ where it ended and never counts a row twice.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,11 +17,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and results: spark.checkpoint.dir, or where it is unset a new local one."""
-    import tempfile
-
+    """A new folder for checkpoints and results below spark.checkpoint.dir; only a local session may leave that unset."""
     kept = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{kept or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    if not kept:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        kept = tempfile.mkdtemp(prefix="spark-")
+    return f"{kept.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -45,7 +49,11 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def tumbling(events: DataFrame, late: str = "1 hour", size: str = "1 hour") -> DataFrame:
-    """Events by window and type; a window ends when the watermark has passed it, and later rows for it are dropped."""
+    """Events by window and type.
+
+    In append mode a window comes out once, when the watermark has passed its end; later rows for it are dropped and
+    its state goes. In complete mode every window stays in the state and no row is dropped.
+    """
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     return timed.groupBy(F.window("at", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
@@ -67,7 +75,10 @@ def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None]) -> No
 
 
 def expiring(events: DataFrame, days: int) -> DataFrame:
-    """(user_id, event_type, calls, expired): calls since the last silence of so many days, by state with a timer's length in it."""
+    """(user_id, event_type, calls, expired): calls since the last silence of so many days, by state of three numbers a key.
+
+    A silence is noticed at the next event of its key: there is no timer, and keys that never come again keep their state.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         calls, last, expired = state.get if state.exists else (0, 0, 0)

@@ -130,6 +130,13 @@ def test_games_of_files(spark):
     assert got == {1: "Foo", 2: "Foo", 3: "Foo", 4: "A", 5: "B", 6: "C", 7: "", 8: "Deep Game", 9: "Loose", 10: "Game", 11: ""}
 
 
+@pytest.mark.parametrize("name, want", [("disc 1", True), ("side\t b", True), ("cd-02", True), ("track_iv", True), ("part 123", False), ("disc one", False), ("my disc 1", False)])
+def test_names_of_discs(spark, name, want):
+    from tessera.operators.grouping import DISC
+
+    assert one(spark, F.lit(name).rlike(DISC)) is want
+
+
 def test_guid_is_a_name_based_uuid(spark):
     import uuid
 
