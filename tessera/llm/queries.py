@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, licenses, ngram_join, packing, pieces, quality, sharding, substring, token_files, url_filter
+from . import centroids, exact_dedup, licenses, ngram_join, packing, pieces, quality, sharding, substring, token_files, url_filter
 from .common import documents
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -71,7 +71,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op8_license_scan_lines, op8_license_scan_wrapped, op9_sentencepiece, op10_sharding)}
+CENTROIDS, ROUNDS, DIMS, SEED = 40, 5, 64, 2
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return centroids.summary(spark, centroids.lloyd(vectors, CENTROIDS, ROUNDS, DIMS, seed=SEED))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op8_license_scan_lines, op8_license_scan_wrapped, op9_sentencepiece, op10_sharding, op12_centroids)}
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -195,7 +203,30 @@ with recursive known(sentence, sentence_id) as (values {table}),
 select doc_id, n_sentences, sentence_ids, coalesce(licenses, '') as licenses from f left join l using (doc_id)"""
 
 
+def _centroids_sql() -> str:
+    """A round is three tables: nearest centroids, their vectors' sums by component, and the floors of the means."""
+    far = f"list_sum(list_transform(range(1, {DIMS + 1}), lambda i: (q[i] - c[i]) * (q[i] - c[i])))"
+    nearest = lambda r: f"a{r} as materialized (select row, arg_min(k, (d, k)) as k, min(d) as d from (select row, k, {far} as d from v cross join c{r}) group by row)"
+    rounds = []
+    for r in range(ROUNDS):
+        rounds += [
+            nearest(r),
+            f"s{r} as (select k, i, sum(q[i]) as s, count(*) as n from a{r} join v using (row) cross join range(1, {DIMS + 1}) t(i) group by k, i)",
+            f"m{r} as (select k, list((s - ((s % n) + n) % n) // n order by i) as c from s{r} group by k)",
+            f"c{r + 1} as materialized (select k, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} using (k))",
+        ]
+    return f"""
+with v as materialized (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as hugeint)) as q from embeddings
+        where len(embedding) = {DIMS} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {DIMS}),
+     c0 as materialized (select row_number() over (order by name, q) - 1 as k, q as c from (select sha256('{SEED}:' || vec_id) as name, q from v where vec_id is not null order by name, q limit {CENTROIDS})),
+     {", ".join(rounds)}, {nearest(ROUNDS)},
+     i as (select k, sum(d) as inertia from a{ROUNDS} group by k)
+select vec_id, cast(k as int) as cluster, cast(d as bigint) as distance, cast(inertia as bigint) as cluster_inertia, cast((select sum(inertia) from i) as bigint) as inertia,
+       sha256(array_to_string(c, ',')) as centroid_sha256 from a{ROUNDS} join v using (row) join i using (k) join c{ROUNDS} using (k)"""
+
+
 ORACLES["op7_url_filter"] = _url_sql()
+ORACLES["op12_centroids"] = _centroids_sql()
 ORACLES["op8_license_scan"] = _recognised_sql()
 ORACLES["op8_license_scan_lines"] = _license_sql()
 ORACLES["op8_license_scan_wrapped"] = _wrapped_sql()
