@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, exact_dedup, licenses, ngram_join, packing, pieces, quality, sharding, substring, token_files, url_filter
+from . import centroids, exact_dedup, licenses, ngram_join, packing, phrases, pieces, quality, sharding, substring, token_files, url_filter
 from .common import documents
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -71,6 +71,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), support=10, longest=3, inside_percent=50, top=2000)
+
+
 CENTROIDS, ROUNDS, DIMS, SEED = 40, 5, 64, 2
 
 
@@ -79,7 +83,7 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.summary(spark, centroids.lloyd(vectors, CENTROIDS, ROUNDS, DIMS, seed=SEED))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op8_license_scan_lines, op8_license_scan_wrapped, op9_sentencepiece, op10_sharding, op12_centroids)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op8_license_scan_lines, op8_license_scan_wrapped, op9_sentencepiece, op10_sharding, op11_phrases, op12_centroids)}
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -203,6 +207,23 @@ with recursive known(sentence, sentence_id) as (values {table}),
 select doc_id, n_sentences, sentence_ids, coalesce(licenses, '') as licenses from f left join l using (doc_id)"""
 
 
+ORACLES["op11_phrases"] = r"""
+with p as (select row_number() over () as piece, lang, words from (select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as words from documents)),
+     w as (select piece, lang, unnest(words) as x, generate_subscripts(words, 1) as i from p),
+     run as (select lang, x, lead(x) over t as y, lead(x, 2) over t as z from w window t as (partition by piece order by i)),
+     one as (select lang, x, count(*) as f from w group by all), n as (select lang, count(*) as n from w group by lang),
+     two as (select lang, x, y, count(*) as f from run where y is not null group by all), three as (select lang, x, y, z, count(*) as f from run where z is not null group by all having count(*) >= 10),
+     cuts as (select t.lang, t.x || ' ' || t.y as phrase, t.x as p1, t.y as p2, null as p3, t.f as a, 1 as k, l.f as l, r.f as r from two t join one l on l.lang = t.lang and l.x = t.x join one r on r.lang = t.lang and r.x = t.y where t.f >= 10
+        union all select t.lang, t.x || ' ' || t.y || ' ' || t.z, t.x, t.y, t.z, t.f, 1, l.f, r.f from three t join one l on l.lang = t.lang and l.x = t.x join two r on r.lang = t.lang and r.x = t.y and r.y = t.z
+        union all select t.lang, t.x || ' ' || t.y || ' ' || t.z, t.x, t.y, t.z, t.f, 2, l.f, r.f from three t join two l on l.lang = t.lang and l.x = t.x and l.y = t.y join one r on r.lang = t.lang and r.x = t.z),
+     scored as (select *, cast(1000000::hugeint * a * a // (l::hugeint * r) as bigint) as score from cuts),
+     best as (select * from scored qualify row_number() over (partition by lang, p1, p2, p3 order by score, k) = 1),
+     inner_pairs as (select lang, p1, p2, max(f) as f from (select lang, x as p1, y as p2, f from three union all select lang, y, z, f from three) group by all),
+     kept as (select b.* from best b left join inner_pairs i on b.p3 is null and i.lang = b.lang and i.p1 = b.p1 and i.p2 = b.p2 where i.f is null or 100 * i.f < 50 * b.a),
+     ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000"""
+
+
 def _centroids_sql() -> str:
     """A round is three tables: nearest centroids, their vectors' sums by component, and the floors of the means."""
     far = f"list_sum(list_transform(range(1, {DIMS + 1}), lambda i: (q[i] - c[i]) * (q[i] - c[i])))"
