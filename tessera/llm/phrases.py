@@ -18,68 +18,33 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .bytewords import SEGMENT, bytes_of, first_bytes, groups, segments, words_at
 from .common import staged
 from .packing import task_offsets
 
-#: Words of a stream, and bytes of text that are cut into words at a time.
-STREAM_WORDS, SEGMENT = 2_000_000, 4 << 20
+#: Words of a stream.
+STREAM_WORDS = 2_000_000
 #: Bytes of words, or of projections, that a task holds before it writes or merges them.
 HELD = 64 << 20
 #: Occurrences of a prefix that one task takes.
 PREFIX_ROWS = 1 << 20
 # What ends a word, and what ends a piece too; letters that are lower-cased.
-_KIND = np.zeros(256, "u1")
-_KIND[list(b" \t")] = 1
-_KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
+_BREAK = np.zeros(256, bool)
+_BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
+_GAP = _BREAK.copy()
+_GAP[list(b" \t")] = True
 _LOW = np.arange(256, dtype="u1")
 _LOW[65:91] += 32
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of some texts, one after another, and where each begins."""
-    kind = "i8" if pa.types.is_large_string(texts.type) else "i4"
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype("i8")
-    return np.frombuffer(data, "u1")[at[0] : at[-1]] if data is not None else np.zeros(0, "u1"), at - at[0]
-
-
 def _cut(data: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, np.ndarray, int]:
     """The lower-cased words of adjacent texts, the number of each word's piece (from 0), and how many pieces were begun."""
-    kind = _KIND[data]
-    inside = kind == 0
-    first = np.zeros(len(data), bool)
-    first[begins[begins < len(data)]] = True
-    head = inside.copy()
-    head[1:] &= ~inside[:-1] | first[1:]
-    starts = np.flatnonzero(head)
-    places = np.cumsum(inside)
-    offsets = np.append(places[starts] - 1, places[-1] if len(places) else 0)
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype("i8")), pa.py_buffer(_LOW[data[inside]]))
-    pieces = np.cumsum((kind == 2) | first)
+    first = first_bytes(data, begins)
+    words, starts = words_at(_LOW[data], first, _GAP)
+    pieces = np.cumsum(_BREAK[data] | first)
     return words, pieces[starts], int(pieces[-1]) if len(pieces) else 0
 
 
-def _segments(data: np.ndarray, segment: int) -> Iterator[np.ndarray]:
-    """A long text in parts that end with what ends a word."""
-    at = 0
-    while at < len(data):
-        end = at + segment
-        ends = np.flatnonzero(_KIND[data[at:end]])
-        if end >= len(data):
-            cut = len(data)
-        elif len(ends):
-            cut = at + int(ends[-1]) + 1
-        else:
-            cut = len(data)
-            for a in range(end, len(data), segment):
-                more = np.flatnonzero(_KIND[data[a : a + segment]])
-                if len(more):
-                    cut = a + int(more[0]) + 1
-                    break
-        yield data[at:cut]
-        at = cut
-
-
 class _Streams:
     """A task's words by language, and their numbers of pieces, until they are written."""
 
@@ -127,22 +92,17 @@ def _streamed(batches: Iterator[pa.RecordBatch], longest: int, stream_words: int
         langs = batch.column(0).dictionary_encode()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             texts = batch.column(1).filter(pc.equal(langs.indices, k))
-            sizes, i = pc.binary_length(texts).to_numpy(zero_copy_only=False), 0
-            while i < len(texts):
-                j, total = i, 0
-                while j < len(texts) and (j == i or total + sizes[j] <= segment):
-                    total, j = total + sizes[j], j + 1
-                data, begins = _bytes_of(texts.slice(i, j - i))
-                if total <= segment:
+            for i, j in groups(texts, segment):
+                data, begins = bytes_of(texts.slice(i, j - i))
+                if len(data) <= segment:
                     own.add(lang, data, begins)
                     if own.full():
                         yield from own.flush()
-                else:
-                    for n, part in enumerate(_segments(data, segment)):
-                        own.add(lang, part, begins[: n == 0])
-                        if own.full():
-                            yield from own.flush(lang)
-                i = j
+                    continue
+                for n, part in enumerate(segments(data, _GAP[data], segment)):
+                    own.add(lang, part, begins[: n == 0])
+                    if own.full():
+                        yield from own.flush(lang)
     yield from own.flush()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, exact_dedup, licenses, ngram_join, packing, phrases, pieces, quality, sharding, substring, token_files, url_filter
+from . import centroids, exact_dedup, licenses, ngram_join, packing, phrases, pieces, quality, sharding, substring, token_files, toxicity, url_filter
 from .common import documents
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -83,7 +83,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.summary(spark, centroids.lloyd(vectors, CENTROIDS, ROUNDS, DIMS, seed=SEED))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op8_license_scan_lines, op8_license_scan_wrapped, op9_sentencepiece, op10_sharding, op11_phrases, op12_centroids)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard, op4_packing, op5_exact_dedup, op6_token_files, op7_url_filter, op8_license_scan, op8_license_scan_lines, op8_license_scan_wrapped, op9_sentencepiece, op10_sharding, op11_phrases, op12_centroids, op13_toxicity)}
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
