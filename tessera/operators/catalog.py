@@ -21,7 +21,7 @@ def fold_sources(rows: DataFrame, store_sources: list[str]) -> tuple[DataFrame,
     entries = one.groupBy("norm_key", "platform").agg(
         F.coalesce(F.min("store")["title"], F.min("first")["title"]).alias("title"),
         F.count(F.lit(1)).alias("n_sources"),
-        F.countDistinct("source").alias("n_kinds"),
+        F.size(F.collect_set("source")).cast("long").alias("n_kinds"),
         F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources_summary"),
         F.max((F.col("state") == "have").cast("int")).alias("owned"),
     )

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.sources.staging import released, staged
+
+from .skew import joined
+
 
 def fold_roots(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
     """(id, root): each id after following (id, parent) edges at most `hops` times, never back to where it was.
@@ -22,19 +26,47 @@ def fold_roots(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
 def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """(alias, target) with chains followed to their ends, by pointer jumping: a chain of n takes log2(n) rounds.
 
-    Aliases that run in a circle are left out; they have no end.
+    Each round is one join over a written table, whatever the rounds before. Aliases that run in a circle,
+    or into one, have no end and are left out: after a round in which as many moved as before, only they still move.
     """
-    current = aliases.select("alias", "target")
-    rounds = max(1, current.count().bit_length())
-    for _ in range(rounds):
+    current, before = staged(aliases.select("alias", "target"), "aliases"), -1
+    while True:
         up = current.select(F.col("alias").alias("target"), F.col("target").alias("_next"))
-        jumped = current.join(up, "target", "left")
-        moving = jumped.filter("_next is not null").limit(1).count()
-        current = jumped.select("alias", F.coalesce("_next", "target").alias("target"))
-        if not moving:
+        jumped = current.join(up, "target", "left").select("alias", F.coalesce("_next", "target").alias("target"), F.col("_next").isNotNull().alias("moved"))
+        following = staged(jumped, "aliases")
+        moving = following.filter("moved").count()
+        if moving in (0, before):
+            return following.filter("not moved").select("alias", "target")
+        released(current)
+        current, before = following.select("alias", "target"), moving
+
+
+def components(pairs: DataFrame, node: str, key: str) -> DataFrame:
+    """(node, component) for nodes that share keys, at any distance: the component is its smallest node.
+
+    Nodes and keys that are null don't tie; nodes without a key are not in the result. Each round every
+    component hooks on to the smallest that one of its keys leads to, hooks are followed to their ends and
+    the rest goes on with components instead of nodes, without the keys that tie nothing any more: the
+    components of a tie are at least halved. Keys of many nodes are dealt to several tasks.
+    """
+    ties = staged(pairs.select(F.col(node).alias("label"), F.col(key).alias("key")).dropna().distinct(), "ties")
+    nodes, hooks = ties.select(F.col("label").alias("alias")), None
+    while True:
+        groups = staged(ties.groupBy("key").agg(F.min("label").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+        rest = staged(joined(ties, groups, ["key"], "n").select("label", "key", "low"), "rest")
+        hooked = staged(rest.filter("low < label").groupBy(F.col("label").alias("alias")).agg(F.min("low").alias("target")), "hooks")
+        if hooked.isEmpty():
             break
-    ends = current.join(current.select(F.col("alias").alias("target")), "target", "left_anti")
-    return ends.select("alias", "target")
+        hooks = hooked if hooks is None else hooks.unionByName(hooked)
+        ends = resolve_aliases(hooked)
+        moved = rest.join(ends.withColumnRenamed("alias", "label"), "label", "left").select(F.coalesce("target", "label").alias("label"), "key").distinct()
+        ties = staged(moved, "ties")
+        released(groups, rest)
+    nodes = nodes.distinct()
+    if hooks is not None:
+        nodes = nodes.join(resolve_aliases(hooks), "alias", "left")
+        return nodes.select(F.col("alias").alias(node), F.coalesce("target", "alias").alias("component"))
+    return nodes.select(F.col("alias").alias(node), F.col("alias").alias("component"))
 
 
 def kin(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.streaming import folds
+from tessera.streaming import cache, folds
 
 from .registry import query
 
@@ -41,3 +41,22 @@ def incremental_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     mark = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     return folds.since(e, "ts", mark, "event_id").select("event_id", "event_type")
+
+
+_TTL = 36 * 3600 * 1000
+
+
+@query(f"""with recursive e as (select cast(user_id as varchar) || '/' || event_type as key, epoch_us(ts) // 1000 as t, case when value > 60 then event_id end as id, event_id from events),
+o as (select *, row_number() over (partition by key order by t, event_id) as n from e),
+w as (select o.key, o.n, o.t, o.id, (select min(p.n) from o p where p.key = o.key and p.t >= o.t + {_TTL}) as later from o),
+chain as (select key, n, t, id, later from w where n = 1 union all select w.key, w.n, w.t, w.id, w.later from chain c join w on w.key = c.key and w.n = c.later where c.id is null),
+f as (select key, min(n) as n, any_value(id) as id from chain where id is not null group by key),
+q as (select o.key, o.t, case when c.n is not null then c.id when f.n < o.n then f.id end as id, case when c.n is not null then case when c.id is null then 'missed' else 'found' end when f.n < o.n then 'hit' else 'fresh_miss' end as how
+  from o left join chain c on c.key = o.key and c.n = o.n left join f on f.key = o.key),
+x as (select key, t + {_TTL} as t, null as id, 'expired' as how from chain where id is null and t + {_TTL} <= (select max(epoch_us(ts) // 1000) from events))
+select key, strftime(make_timestamp(t * 1000), '%Y-%m-%d %H:%M:%S.%g') as "at", id, how from (select * from q union all select * from x)""")
+def stream_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions by user and kind: hits, misses that still count and those that end, by timers."""
+    key = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"))
+    rows = cache.served(cache.answered(_events(spark, sf_dir), key, F.col("ts"), F.when(F.col("value") > 60, F.col("event_id")), _TTL))
+    return rows.select("key", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"), "id", "how")
