@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import eras as E, gate, titles as T
 from tessera.operators import identity as I
+from tessera.operators.candidates import best_accepted
 from tessera.sources.tables import table
 
 from . import adapters as A
@@ -80,13 +81,12 @@ def gate_sql(pairs: str, owned: str, candidate: str) -> str:
     case when squashed then 2.0::double else (len(qt) - {has('qt', 'ct')})::double / len(qt) + (len(qt) - {has('qt', 'ct')})::double / len(ct) end as score from q25 where len(qt) > 0 and len(ct) > 0)"""
 
 
-@query(f"""with {A.TITLES_SQL}, pairs as (select a.p_partkey as a, b.p_partkey as b, a.title_raw as t, b.title_raw as u from titles a join titles b on a.p_brand = b.p_brand and a.p_size = b.p_size),
-{gate_sql('pairs', 't', 'u')} select a, b, ok, cast(round(score * 1000000) as bigint) as score from q3""")
+@query(f"""with {A.TITLES_SQL}, pairs as (select a.p_partkey as a, b.p_partkey as b, a.title_raw as t, b.title_raw as u from titles a join titles b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey <> b.p_partkey),
+{gate_sql('pairs', 't', 'u')} select a, -max((score, -b))[2] as b, cast(round(max((score, -b))[1] * 1000000) as bigint) as score from q3 where ok group by a""")
 def gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = A.titles(spark, sf_dir)
-    side = lambda key, f: t.select(F.col("p_partkey").alias(key), gate.features(F.col("title_raw")).alias(f), "p_brand", "p_size")
-    pairs = side("a", "t").join(side("b", "u"), ["p_brand", "p_size"]).select("a", "b", gate.judged_features(F.col("t"), F.col("u")).alias("g"))
-    return pairs.filter("g is not null").select("a", "b", "g.ok", F.round(F.col("g.score") * 1000000).cast("long").alias("score"))
+    """The best that the gate accepts for each title among the others of its brand and size."""
+    best = best_accepted(A.titles(spark, sf_dir), "p_partkey", ["p_brand", "p_size"], F.col("title_raw"))
+    return best.select("a", "b", F.round(F.col("score") * 1000000).cast("long").alias("score"))
 
 
 @query(f"""with {A.TITLES_SQL}, pairs as (select a.p_partkey as a, b.p_partkey as b, a.title_raw as t, b.title_raw as u from titles a join titles b on a.p_name = b.p_name and a.p_partkey % 2 = 0 and b.p_partkey % 2 = 1 and a.p_brand = b.p_brand),
@@ -153,23 +153,10 @@ def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", gate.confidence(*args).alias("confidence"), gate.confidence_reason(*args).alias("reason"))
 
 
-@query("""with e as (select o_orderkey as id, o_custkey % 9 as entry, o_orderpriority as platform from orders where o_orderkey < 2000), fit as (select e.id, count(*) filter (c.platform = e.platform) as fits, min(c.cand) filter (c.platform = e.platform) as one, min(c.gen) as gen, any_value(e.id % 6) as own
-from e join (select distinct s_suppkey as cand, s_nationkey % 9 as entry, ['1-URGENT', '2-HIGH', '3-MEDIUM'][s_suppkey % 3 + 1] as platform, s_suppkey % 5 as gen from supplier) c using (entry) group by e.id)
-select id, case when fits = 1 then 'unique' when fits > 1 then 'ambiguous' when own < gen then 'none_impossible' else 'none_uncertain' end as kind, case when fits = 1 then one end as identity_id from fit""")
-def per_entry_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9).alias("entry"), F.col("o_orderpriority").alias("platform"))
-    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cand"), (F.col("s_nationkey") % 9).cast("long").alias("entry"), A.pick(["1-URGENT", "2-HIGH", "3-MEDIUM"], "cast(s_suppkey % 3 as int)").alias("on"), (F.col("s_suppkey") % 5).alias("gen")).distinct()
-    fits = F.col("on") == F.col("platform")
-    g = e.join(c, "entry").groupBy("id").agg(F.count(F.when(fits, 1)).alias("fits"), F.min(F.when(fits, F.col("cand"))).alias("one"), F.min("gen").alias("gen"))
-    kind = F.when(F.col("fits") == 1, "unique").when(F.col("fits") > 1, "ambiguous").when(F.col("id") % 6 < F.col("gen"), "none_impossible").otherwise("none_uncertain")
-    return g.select("id", kind.alias("kind"), F.when(F.col("fits") == 1, F.col("one")).alias("identity_id"))
-
-
 @query("""with e as (select o_orderkey as id, o_custkey % 9 as entry, o_orderpriority as platform from orders), fit as (select e.id, count(*) filter (c.platform = e.platform) as fits, min(c.cand) filter (c.platform = e.platform) as one, min(c.gen) as gen, any_value(e.id % 6) as own
 from e join (select distinct s_suppkey as cand, s_nationkey % 9 as entry, ['1-URGENT', '2-HIGH', '3-MEDIUM'][s_suppkey % 3 + 1] as platform, s_suppkey % 5 as gen from supplier) c using (entry) group by e.id)
 select id, case when fits = 1 then 'unique' when fits > 1 then 'ambiguous' when own < gen then 'none_impossible' else 'none_uncertain' end as kind, case when fits = 1 then one end as identity_id from fit""")
-def per_entry_resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As per_entry_resolve, for every order."""
+def per_entry_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9).alias("entry"), F.col("o_orderpriority").alias("platform"))
     on = A.pick(["1-URGENT", "2-HIGH", "3-MEDIUM"], "cast(s_suppkey % 3 as int)")
     c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cand"), (F.col("s_nationkey") % 9).cast("long").alias("entry"), on.alias("platform"), (F.col("s_suppkey") % 5).alias("gen"))

@@ -93,16 +93,8 @@ def ledger_expand_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.filter("o_orderstatus = 'O'").join(o.filter("o_orderstatus = 'F'").select("o_custkey"), "o_custkey", "left_anti").select("o_custkey", "o_orderkey")
 
 
-@query("""select o_orderkey, member, o_custkey = owner as owned from (select o_orderkey, o_custkey, unnest(list_distinct(list_sort(list(l_partkey % 50)))) as member, any_value(o_custkey) as owner from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 20 = 0 group by 1, 2)""")
-def bundle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, li = table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0"), table(spark, sf_dir, "lineitem")
-    b = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_custkey").agg(F.sort_array(F.collect_set(F.col("l_partkey") % 50)).alias("members"))
-    return b.select("o_orderkey", F.explode("members").alias("member"), F.lit(True).alias("owned"))
-
-
 @query("""select o_orderkey, member, o_custkey = owner as owned from (select o_orderkey, o_custkey, unnest(list_distinct(list_sort(list(l_partkey % 50)))) as member, any_value(o_custkey) as owner from orders join lineitem on l_orderkey = o_orderkey group by 1, 2)""")
-def bundle_members_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As bundle_members, of every order."""
+def bundle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     b = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_custkey").agg(F.sort_array(F.collect_set(F.col("l_partkey") % 50)).alias("members"))
     return b.select("o_orderkey", F.explode("members").alias("member"), F.lit(True).alias("owned"))
@@ -114,21 +106,11 @@ def collection_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_partkey").alias("member")).agg(F.countDistinct("o_orderkey").alias("collections"), F.min("o_orderkey").alias("first"))
 
 
-@query("""with m as (select distinct l_orderkey as coll, l_partkey as part from lineitem where l_orderkey % 50 = 0), f as (select m.*, exists (select 1 from lineitem x where x.l_partkey = m.part and x.l_orderkey % 50 = 1 and x.l_linestatus = 'O') as owned, exists (select 1 from lineitem x where x.l_partkey = m.part and x.l_orderkey % 50 = 2 and x.l_linestatus = 'F') as wished from m)
-select coll, part, case when owned then 'standalone' when wished then 'satisfied' else 'created' end as status, case when not owned then 'via:' || coll end as via from f""")
-def materialize_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    m = li.filter("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("coll"), F.col("l_partkey").alias("part")).distinct()
-    flag = lambda c, n: li.filter(c).select(F.col("l_partkey").alias("part"), F.lit(True).alias(n)).distinct()
-    rows = m.join(flag("l_orderkey % 50 = 1 and l_linestatus = 'O'", "owned"), "part", "left").join(flag("l_orderkey % 50 = 2 and l_linestatus = 'F'", "wished"), "part", "left")
-    return rows.select("coll", "part", F.when(F.col("owned"), "standalone").when(F.col("wished"), "satisfied").otherwise("created").alias("status"), F.when(F.col("owned").isNull(), F.concat(F.lit("via:"), F.col("coll").cast("string"))).alias("via"))
-
-
 @query("""with x as (select l_orderkey as coll, l_partkey as part, o_orderstatus as role from lineitem join orders on o_orderkey = l_orderkey), m as (select distinct coll, part from x where role = 'F'),
 f as (select m.*, exists (select 1 from x where x.part = m.part and x.role = 'O') as owned, exists (select 1 from x where x.part = m.part and x.role = 'P') as wished from m)
 select coll, part, case when owned then 'standalone' when wished then 'satisfied' else 'created' end as status, case when not owned then 'via:' || coll end as via from f""")
-def materialize_members_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As materialize_members, with a role for every order: collection (F), owned (O) or wished (P)."""
+def materialize_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order has a role: collection (F), owned (O) or wished (P)."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("coll"), F.col("l_partkey").alias("part"), F.col("o_orderstatus").alias("role"))
     flags = x.groupBy("part").agg(F.max(F.col("role") == "O").alias("owned"), F.max(F.col("role") == "P").alias("wished"))

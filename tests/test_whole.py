@@ -27,17 +27,17 @@ def test_fits_of_entry(spark):
 def test_per_entry_resolve_judges_every_order(spark):
     entries = {r[0] for r in table(spark, SF, "supplier").select(F.col("s_nationkey") % 9).collect()}
     orders = {r[0] for r in table(spark, SF, "orders").select("o_orderkey", F.col("o_custkey") % 9).collect() if r[1] in entries}
-    assert ids(QUERIES["per_entry_resolve_all"](spark, SF), "id") == orders
+    assert ids(QUERIES["per_entry_resolve"](spark, SF), "id") == orders
 
 
 def test_learn_identities_learns_from_every_order(spark):
-    got = QUERIES["learn_identities_all"](spark, SF)
+    got = QUERIES["learn_identities"](spark, SF)
     assert got.count() == 2 * table(spark, SF, "orders").count()
     assert ids(got, "find") == ids(table(spark, SF, "orders"), "o_orderkey")
 
 
 def test_bundle_members_expands_every_order(spark):
-    assert ids(QUERIES["bundle_members_all"](spark, SF), "o_orderkey") == ids(table(spark, SF, "orders").join(table(spark, SF, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")), "o_orderkey")
+    assert ids(QUERIES["bundle_members"](spark, SF), "o_orderkey") == ids(table(spark, SF, "orders").join(table(spark, SF, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")), "o_orderkey")
 
 
 def test_materialize_members_gives_every_order_a_role(spark):
@@ -45,4 +45,4 @@ def test_materialize_members_gives_every_order_a_role(spark):
     assert {r.o_orderstatus for r in lines} == set("FOP")
     owned, wished = ({r.l_partkey for r in lines if r.o_orderstatus == s} for s in "OP")
     want = {(r.l_orderkey, r.l_partkey): "standalone" if r.l_partkey in owned else "satisfied" if r.l_partkey in wished else "created" for r in lines if r.o_orderstatus == "F"}
-    assert {(r.coll, r.part): r.status for r in QUERIES["materialize_members_all"](spark, SF).collect()} == want
+    assert {(r.coll, r.part): r.status for r in QUERIES["materialize_members"](spark, SF).collect()} == want
