@@ -5,18 +5,20 @@ have letters written as digits or signs, drawn out, or spaced apart. A Viterbi s
 of a disguised word's readings restores the likeliest, and the restored words are scored.
 
 The language model's counts are gathered from every document. Evidence for words and their beginnings is
-counted over all labelled documents of the learning folds; what comes of it has a bounded size.
+counted over a bounded sample of the labelled documents (LABELLED), which is broadcast, so that no text moves.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,11 +37,15 @@ CLASS = {c: k for k, c in enumerate(LETTERS, 1)}
 A = len(LETTERS) + 1
 #: Log probabilities of the channel: a sign for a letter, the sign itself, a letter drawn out, a mark between letters, the mark itself.
 AS_LETTER, AS_SIGN, DRAWN, BETWEEN, AS_MARK = -1.5, -6.0, -2.0, -1.0, -1.0
-#: Features that a model keeps, the evidence (G squared) that each needs, and labelled rows by which scores are set against labels.
-FEATURES, EVIDENCE, CALIBRATION = 50_000, 20.0, 20_000
+#: Labelled rows that a model learns from, features that it keeps, and the evidence (G squared) that each needs.
+LABELLED, FEATURES, EVIDENCE = 50_000, 50_000, 20.0
 FOLDS, HELD_OUT, LAST = 5, 0, 4
 #: Words whose weights a Python worker keeps.
 KNOWN = 300_000
+#: Marks around a word, and a letter three times in a row.
+AROUND = "\"'()[]{}<>.,;:!?-_*«»“”„…#|+"
+_DRAWN = re.compile(f"([{LETTERS}])\\1\\1")
+_PLAIN, _THRICE = r"^\p{L}*$", "|".join(c * 3 for c in LETTERS)
 _GAP = np.zeros(256, bool)
 _GAP[list(b" \t\n\x0b\x0c\r")] = True
 
@@ -147,13 +153,13 @@ def plain_words(token: str) -> list[str] | None:
     if not words:
         return []
     # signs at the end are punctuation; any other sign beside letters may stand for one
-    core = low.strip("\"'()[]{}<>.,;:!?-_*«»“”„…#|+")
-    disguised = any(c in SIGNS for c in core) or (low[0] in SIGNS and low[0] not in "(<#|+!" and len(core) > 2) or _drawn(core) or (len(words) > 2 and all(len(w) == 1 for w in words))
+    core = low.strip(AROUND)
+    disguised = any(c in SIGNS for c in core) or _drawn(core) or (len(words) > 2 and all(len(w) == 1 for w in words))
     return None if disguised else words
 
 
 def _drawn(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
+    return _DRAWN.search(word) is not None
 
 
 def token_words(token: str, model: np.ndarray) -> list[str]:
@@ -179,29 +185,31 @@ def features(words: list[str]) -> list[str]:
 class Tokens:
     """Some texts: the distinct tokens, each occurrence's token and text, and how many texts there are."""
 
-    distinct: list[str]
+    distinct: pa.Array
     code: np.ndarray
     doc: np.ndarray
     docs: int
 
+    def spelt(self) -> list[str]:
+        return [t.decode("utf-8", "replace") for t in self.distinct.cast(pa.large_binary()).to_pylist()]
+
 
 def _spaced(tokens: Tokens) -> Iterator[tuple[int, str]]:
     """(text, characters) of three and more tokens of one character in a row."""
-    one = np.array([len(t) == 1 for t in tokens.distinct], bool)[tokens.code]
+    one = (pc.utf8_length(tokens.distinct).to_numpy(zero_copy_only=False) == 1)[tokens.code] if len(tokens.distinct) else np.zeros(0, bool)
     before = np.append(False, one[:-1] & (tokens.doc[1:] == tokens.doc[:-1])) if len(one) else one
     heads = np.flatnonzero(one & ~before)
     ends = np.flatnonzero(one & ~np.append((one & before)[1:], False))
     for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
         if b - a > 1:
-            yield int(tokens.doc[a]), " ".join(tokens.distinct[c] for c in tokens.code[a : b + 1].tolist())
+            yield int(tokens.doc[a]), " ".join(tokens.distinct.take(tokens.code[a : b + 1]).to_pylist())
 
 
 def _tokens(data: np.ndarray, begins: np.ndarray) -> Tokens:
     words, starts = words_at(data, first_bytes(data, begins), _GAP)
     coded = words.dictionary_encode()
-    distinct = [w.decode("utf-8", "replace") for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
     docs = len(begins) - 1
-    return Tokens(distinct, coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(begins[1:], starts, "right"), docs)
+    return Tokens(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(begins[1:], starts, "right"), docs)
 
 
 def token_groups(texts: pa.Array) -> Iterator[tuple[int, Tokens]]:
@@ -232,22 +240,34 @@ class Model:
     slopes: list[float] = field(default_factory=lambda: [0.0] * 4)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def __post_init__(self) -> None:
+        self.starts = {f.removesuffix("-")[:3] for f in self.weights}
+
 
 _known: dict[str, dict[str, float]] = {}
 
 
-def token_weights(model: Model, tokens: list[str]) -> np.ndarray:
+def _may_weigh(model: Model, tokens: pa.Array) -> np.ndarray:
+    """The tokens that may be disguised or begin as a feature does; all others weigh nothing."""
+    core = pc.utf8_trim(pc.utf8_lower(tokens), AROUND)
+    plain = pc.and_not(pc.match_substring_regex(core, _PLAIN), pc.match_substring_regex(core, _THRICE))
+    begins = pc.is_in(pc.utf8_slice_codeunits(core, 0, 3), pa.array(sorted(model.starts), core.type))
+    return np.flatnonzero(pc.or_(pc.invert(plain), begins).to_numpy(zero_copy_only=False))
+
+
+def token_weights(model: Model, tokens: pa.Array) -> np.ndarray:
     """The weight of each token: that of its strongest feature. A worker keeps the weights of some tokens between batches."""
     if len(_known.get(model.name, ())) > KNOWN or model.name not in _known:
         _known.clear()
         _known[model.name] = {}
-    known, weights, out = _known[model.name], model.weights, []
-    for t in tokens:
+    known, weights, out = _known[model.name], model.weights, np.zeros(len(tokens))
+    some = _may_weigh(model, tokens)
+    for k, t in zip(some.tolist(), tokens.take(some).to_pylist(), strict=True):
         w = known.get(t)
         if w is None:
             w = known[t] = max((weights.get(f, 0.0) for f in features(token_words(t, model.letters))), default=0.0)
-        out.append(w)
-    return np.array(out, "f8")
+        out[k] = w
+    return out
 
 
 def evidence(texts: pa.Array, model: Model) -> np.ndarray:
@@ -281,7 +301,7 @@ def feature_counts(rows: DataFrame, letters: Broadcast) -> DataFrame:
                     known = {}
                 names: dict[str, int] = {}
                 of = []
-                for t in tokens.distinct:
+                for t in tokens.spelt():
                     if t not in known:
                         known[t] = features(token_words(t, model))
                     of.append([names.setdefault(f, len(names)) for f in known[t]])
@@ -335,9 +355,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from documents and their labels (0 or 1), of which the rows of fold 0 are never read.
 
-    Ids labelled both ways count as unlabelled. The language model takes every document. Features are
-    counted on all learning folds; how scores follow from them is set on the last of these with features
-    of the others, by CALIBRATION of its rows at most.
+    Ids labelled both ways, or of several rows, count as unlabelled. The language model takes every document. Features are
+    counted on LABELLED rows at most, the first by a hash of their ids, of all learning folds; how scores
+    follow from features is set on the last of these folds with features of the others.
     """
     spark = docs.sparkSession
     grams = letter_counts(docs, text_col).collect()  # A ** 3 rows at most
@@ -345,17 +365,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(letters)
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.filter(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").drop("other")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).join(known, "doc_id")
-    rows = rows.withColumn("last", (fold(F.col("doc_id")) == LAST).cast("int"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # its size is bound, so that it is broadcast and no text moves
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    single = rows.select("doc_id").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("toxic").alias("toxic")).filter("rows = 1").drop("rows")
+    rows = rows.join(F.broadcast(staged(single, "sample")), "doc_id")
+    rows = staged(rows.withColumn("last", (fold(F.col("doc_id")) == LAST).cast("int")), "labelled")
     sizes = {(r.toxic, r.last): r.n for r in rows.groupBy("toxic", "last").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = lambda toxic, *last: sum(sizes.get((toxic, k), 0) for k in last)
     counts = staged(feature_counts(rows, shared).filter("pos >= 3"), "features")
     held, fitted = rows.filter("last = 1"), Model(letters, strongest(counts, "pos_first", "neg_first", n(1, 0), n(0, 0)))
     if not fitted.weights or min(n(1, 1), n(0, 1)) < 5:
         held, fitted = rows, Model(letters, strongest(counts, "pos", "neg", n(1, 0, 1), n(0, 0, 1)))
-    sample = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select("doc_id", "text", "toxic")
-    pairs = _evidence_rows(sample, fitted, ["doc_id", "toxic"]).collect()
+    pairs = _evidence_rows(held, fitted, ["doc_id", "toxic"]).collect()  # five numbers for each of LABELLED rows at most
     model = Model(letters, strongest(counts, "pos", "neg", n(1, 0, 1), n(0, 0, 1)))
+    pairs.sort(key=lambda r: (r.doc_id, r.evidence))
     y = np.array([r.toxic for r in pairs], "f8")
     if len(pairs) and model.weights and 0 < y.sum() < len(y):
         model.bias, model.slopes = _logistic(np.array([r.evidence for r in pairs]), y)
