@@ -41,6 +41,21 @@ def resolve_aliases(aliases: DataFrame) -> DataFrame:
         current, before = following.select("alias", "target"), moving
 
 
+def chain_depths(aliases: DataFrame) -> DataFrame:
+    """(alias, target, hops) with each chain's end and the steps to it; target and hops are null in a circle, or on the way into one."""
+    current, before = staged(aliases.select("alias", "target", F.lit(1).cast("long").alias("hops")), "depths"), -1
+    while True:
+        up = current.select(F.col("alias").alias("target"), F.col("target").alias("_next"), F.col("hops").alias("_more"))
+        jumped = current.join(up, "target", "left").select("alias", F.coalesce("_next", "target").alias("target"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_next").isNotNull().alias("moved"))
+        following = staged(jumped, "depths")
+        moving = following.filter("moved").count()
+        if moving in (0, before):
+            end = lambda c: F.when(~F.col("moved"), F.col(c)).alias(c)
+            return following.select("alias", end("target"), end("hops"))
+        released(current)
+        current, before = following.drop("moved"), moving
+
+
 def components(pairs: DataFrame, node: str, key: str) -> DataFrame:
     """(node, component) for nodes that share keys, at any distance: the component is its smallest node.
 
