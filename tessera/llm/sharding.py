@@ -14,6 +14,8 @@ from .common import id_text, partitions
 MULTIPLIER = 2862933555777941757
 HIGH, LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
 FULL, HALF = 0xFFFFFFFF, 0xFFFF
+#: Steps of the folds that come before the one for what still isn't done.
+FOLDS = (12, 52)
 
 
 def _let(value: Column, body) -> Column:
@@ -31,7 +33,7 @@ def jump_hash(key: Column, shards: int) -> Column:
     """The jump consistent hash of a long key, an int from 0 to shards - 1; a null key counts as 0.
 
     The generator multiplies modulo 2^64. SQL's multiplication doesn't wrap, so the state is held as
-    32-bit halves and each product is made of 16-bit parts. Every step moves j on, so `shards` steps do.
+    32-bit halves and each product is made of 16-bit parts. Every step moves j on, so `shards` steps do, and most keys need few.
     """
     if shards < 1:
         raise ValueError("there must be one shard at least")
@@ -57,7 +59,16 @@ def jump_hash(key: Column, shards: int) -> Column:
     start = F.struct(
         F.shiftrightunsigned(key, 32).alias("h"), key.bitwiseAND(F.lit(FULL)).alias("l"), F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("j")
     )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"].cast("int"))
+    def walk(steps: int):
+        left = lambda s: F.when(s["j"] >= F.lit(shards), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.lit(steps)))
+        return lambda s: F.aggregate(left(s), s, step)
+
+    # some ln(shards) steps are enough for nearly all keys: those that are done take no part in the longer folds
+    state, left = start, shards
+    for steps in (*FOLDS, shards):
+        if left > 0:
+            state, left = _let(state, walk(min(steps, left))), left - steps
+    return state["b"].cast("int")
 
 
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -176,3 +176,20 @@ def test_urls_of_other_columns_and_letters(spark):
     assert got == [("İx.de", "/p", "other"), ("", "", ""), ("", "", "")]
     pages = spark.createDataFrame([(1, "x://Kasino/casıno"), (2, "x://h/CASINO"), (3, "İ casino"), (4, "x://bücher.de/win/prize")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in url_filter.judge(pages).collect()} == {1: "allow", 2: "block", 3: "block", 4: "block"}
+
+
+def plain_jump(key, shards):
+    """The published generator and loop of jump consistent hashing."""
+    key, b, j = key & (1 << 64) - 1, -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) & (1 << 64) - 1
+        j = int(float(b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+@pytest.mark.parametrize("shards", [1, 2, 12, 13, 24, 64, 65, 1000, 10000])
+def test_jump_hash_of_many_shards(spark, shards):
+    keys = [*range(300), -1, -(1 << 63), (1 << 63) - 1, 123456789012345]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding.jump_hash(F.col("k"), shards).alias("s")).collect()
+    assert {r.k: r.s for r in rows} == {k: plain_jump(k, shards) for k in keys}
