@@ -150,12 +150,18 @@ MORE_SENTENCES = {
     "epl2.title": "eclipse public license v 2 0",
     "epl2.terms": "under the terms of the eclipse public license 2 0",
     "gpl2.title": "gnu general public license version 2 june 1991",
+    "ccby4.title": "creative commons attribution 4 0 international license",
+    "ccbync4.title": "creative commons attribution noncommercial 4 0 international license",
+    "ccbysa4.title": "creative commons attribution sharealike 4 0 international license",
     "gpl2.either": "gnu general public license as published by the free software foundation either version 2 of the license",
+    "gpl2.older": "gnu general public license as published by the free software foundation either version 2 or at your option any later version",
+    "gpl3.older": "gnu general public license as published by the free software foundation either version 3 or at your option any later version",
     "gpl3.title": "gnu general public license version 3 29 june 2007",
     "gpl3.either": "gnu general public license as published by the free software foundation either version 3 of the license",
     "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "lgpl21.title": "gnu lesser general public license version 2 1 february 1999",
     "lgpl21.either": "gnu lesser general public license as published by the free software foundation either version 2 1 of the license",
+    "lgpl21.older": "gnu lesser general public license as published by the free software foundation either version 2 1 or at your option any later version",
     "lgpl3.title": "gnu lesser general public license version 3 29 june 2007",
     "lgpl3.either": "gnu lesser general public license as published by the free software foundation either version 3 of the license",
     "mpl2.title": "mozilla public license version 2 0",
@@ -195,12 +201,15 @@ ORDERED = (
     ("BSD-2-Clause", ("bsd.redistribution", "bsd.source"), ("bsd.endorse", "bsd.names")),
     ("BSL-1.0", ("bsl1.title",), ()), ("CC0-1.0", ("cc0.title",), ()), ("CC0-1.0", ("cc0.public",), ()),
     ("EPL-2.0", ("epl2.title",), ()), ("EPL-2.0", ("epl2.terms",), ()),
-    ("GPL-2.0", ("gpl2.title",), ()), ("GPL-2.0", ("gpl2.either",), ()), ("GPL-3.0", ("gpl3.title",), ()), ("GPL-3.0", ("gpl3.either",), ()), ("GPL-3.0", ("gpl3.redistribute",), ()),
+    ("GPL-2.0", ("gpl2.title",), ()), ("GPL-2.0", ("gpl2.either",), ()), ("GPL-2.0", ("gpl2.older",), ()), ("GPL-3.0", ("gpl3.older",), ()), ("LGPL-2.1", ("lgpl21.older",), ()),
+    ("CC-BY-4.0", ("ccby4.title",), ()), ("CC-BY-NC-4.0", ("ccbync4.title",), ()), ("CC-BY-SA-4.0", ("ccbysa4.title",), ()), ("GPL-3.0", ("gpl3.title",), ()), ("GPL-3.0", ("gpl3.either",), ()), ("GPL-3.0", ("gpl3.redistribute",), ()),
     ("ISC", ("isc.grant",), ()),
     ("LGPL-2.1", ("lgpl21.title",), ()), ("LGPL-2.1", ("lgpl21.either",), ()), ("LGPL-3.0", ("lgpl3.title",), ()), ("LGPL-3.0", ("lgpl3.either",), ()),
     ("MIT", ("mit.grant", "mit.notice"), ()), ("MPL-2.0", ("mpl2.title",), ()), ("MPL-2.0", ("mpl2.form",), ()),
     ("Unlicense", ("unlicense.free",), ()), ("WTFPL", ("wtfpl.title",), ()), ("Zlib", ("zlib.liable", "zlib.origin"), ()),
 )
+#: The expression of a tag, and what joins its identifiers; a word that ends each where they stand as sentences.
+TAG, JOINED, END = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+()-]+)*)", r"(?i)[ \t]+(?:OR|AND|WITH)[ \t]+", "endofname"
 #: What stands before a name that licenses something.
 UNDER = ("under", "under the", "under a", "under an", "under the terms of the", "under the terms of", "under the conditions of the")
 
@@ -211,12 +220,27 @@ def vocabulary() -> tuple[dict[str, str], tuple[tuple[str, tuple[str, ...], tupl
     known = {f"{u} {n}": f"named.{x}" for x, forms in NAMES.items() for n in forms for u in UNDER}
     for x, s in short.items():
         ends = ("", " only", " or later") if "GPL" in x else ("",)
-        known |= {f"spdx license identifier {s}{e}": f"tagged.{x}" for e in ends}
+        known |= {f"spdx license identifier {s}{e} {END}": f"tagged.{x}" for e in ends}
+        known |= {f"license heading {n} {END}": f"headed.{x}" for n in NAMES[x]}
     known |= {text: name for name, text in (SENTENCES | MORE_SENTENCES).items() if not name.endswith(".spdx")}
-    named = tuple((x, (f"{kind}.{x}",), ()) for x in NAMES for kind in ("named", "tagged"))
+    named = tuple((x, (f"{kind}.{x}",), ()) for x in NAMES for kind in ("named", "tagged", "headed"))
     return known, (*ORDERED, *named)
 
 
+def heading() -> str:
+    """A line that is a licence's name and nothing else, as a pattern."""
+    names = sorted({n for forms in NAMES.values() for n in forms}, key=lambda n: (-len(n), n))
+    return r"(?im)^[^A-Za-z0-9\n]*(?:the )?(" + "|".join(n.replace(" ", r"[^A-Za-z0-9\n]+") for n in names) + r")[^A-Za-z0-9\n]*$"
+
+
+def set_apart(text: Column) -> Column:
+    """The identifiers of tags and the names that are lines of their own, as sentences, each with a word at its end: a longer identifier is another one."""
+    ids = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TAG), F.lit(1)), lambda x: F.split(x, JOINED)))
+    tags = F.transform(ids, lambda x: F.concat(F.lit("spdx license identifier "), normalised(x), F.lit(f" {END}")))
+    heads = F.transform(F.regexp_extract_all(text, F.lit(heading()), F.lit(1)), lambda x: F.concat(F.lit("license heading "), normalised(x), F.lit(f" {END}")))
+    return F.array_join(F.concat(tags, heads), " | ")
+
+
 def triggers(known: Mapping[str, str]) -> list[str]:
     """A few words of which every known sentence has one."""
     left, chosen = [set(text.split()) for text in known], []
@@ -238,8 +262,10 @@ def recognised(docs: DataFrame, known: Mapping[str, str], id_col: str = "doc_id"
     heads = sorted({begin(t) for t in known})
     if min(len(t.split()) for t in known) < head:
         raise ValueError(f"known sentences have {head} words at least")
-    rows = id_text(docs, id_col, text_col).filter(F.col("text").rlike("(?i)" + "|".join(triggers(known)))).distinct()
-    rows = rows.select("doc_id", F.concat(F.lit("| "), normalised(F.col("text")), F.lit(" ")).alias("normal"))
+    plain = [t for t in known if not t.endswith(f" {END}")]
+    looked_for = ["spdx", *triggers(plain)] if plain else ["spdx"]
+    rows = id_text(docs, id_col, text_col).filter(F.col("text").rlike("(?i)" + "|".join(looked_for)) | F.col("text").rlike(heading())).distinct()
+    rows = rows.select("doc_id", F.concat(F.lit("| "), normalised(F.col("text")), F.lit(" | "), set_apart(F.col("text")), F.lit(" ")).alias("normal"))
     # pieces begin where a known sentence may; their lengths give the places
     rows = rows.withColumn("pieces", F.split("normal", "(?= (?:" + "|".join(heads) + ") )")).filter(F.size("pieces") > 1)
     rows = rows.withColumn("lengths", F.transform("pieces", F.length)).select("doc_id", "normal", "lengths", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)).alias("k"))
@@ -255,6 +281,8 @@ def recognised(docs: DataFrame, known: Mapping[str, str], id_col: str = "doc_id"
 def recognise(docs: DataFrame, known: Mapping[str, str] | None = None, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids in the text's order, licenses (sorted, distinct), of texts with a known sentence.
 
+    Identifiers of SPDX tags, each of an expression by itself, and lines that are a licence's name come after the
+    other sentences. A name counts whatever is said of it: `not licensed under the MIT license` names MIT.
     Null and empty texts: no row. Empty table: no rows. Repeated rows: taken as one; other rows of one id:
     one after another. A licence is found when one of its rules fits: its identifiers in this order, and
     none of those that must be absent.

@@ -188,12 +188,15 @@ def _recognised_sql() -> str:
     table = ", ".join(f"('{text}', '{name}')" for text, name in known.items())
     steps = ", ".join(f"({k}, '{name}', {i}, '{x}', {len(ids)})" for k, (name, ids, _) in enumerate(rules) for i, x in enumerate(ids, 1))
     absent = ", ".join(f"({k}, '{x}')" for k, (_, _, out) in enumerate(rules) for x in out)
+    plain = lambda t: f"trim(regexp_replace(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
     return rf"""
 with recursive known(sentence, sentence_id) as (values {table}),
      steps(rule, license, step, sentence_id, n) as (values {steps}),
      absent(rule, sentence_id) as (values {absent}),
      d as (select distinct doc_id, text from documents where text is not null),
-     t as (select doc_id, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) as normal from d),
+     x as (select doc_id, text, list_concat(list_transform(flatten(list_transform(regexp_extract_all(text, '{licenses.TAG}', 1), lambda e: string_split_regex(e, '{licenses.JOINED}'))), lambda i: 'spdx license identifier ' || {plain("i")} || ' {licenses.END}'),
+               list_transform(regexp_extract_all(text, '{licenses.heading()}', 1), lambda i: 'license heading ' || {plain("i")} || ' {licenses.END}')) as apart from d),
+     t as (select doc_id, {plain("text")} || ' | ' || array_to_string(apart, ' | ') as normal from x),
      h as (select doc_id, string_split(normal, ' ') as words, sentence, sentence_id, len(string_split(sentence, ' ')) as m
            from t join known on contains(' ' || normal || ' ', ' ' || sentence || ' ')),
      p as (select doc_id, words, sentence, sentence_id, m, unnest(range(1, len(words) - m + 2)) as pos from h),

@@ -39,6 +39,11 @@ CASES = [
     ("This Source Code Form is subject to the terms of the Mozilla Public\n License, v. 2.0. If a copy", "MPL-2.0"), ("                              Apache License\n                        Version 2.0, January 2004", "Apache-2.0"),
     ("// SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("x SPDX-License-Identifier: GPL-3.0-or-later y", "GPL-3.0"),
     ("This code is released under the MIT License.", "MIT"), ("It is licensed under CC BY 4.0.", "CC-BY-4.0"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("SPDX-License-Identifier: BSD-3-Clause-Clear", None), ("/* SPDX-License-Identifier: Apache-2.0 OR MIT */", "Apache-2.0 MIT"), ("# spdx-license-identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND (MIT OR 0BSD)\nx", "GPL-2.0 MIT"),
+    ("SPDX-License-Identifier: MIT-0", None), ("SPDX-License-Identifier: MIT.\nSPDX-License-Identifier:\tISC", "ISC MIT"), ("SPDX-License-Identifier: or", None),
+    ("MIT License\n\nCopyright (c) 2020", "MIT"), ("  # BSD 3-Clause License #", "BSD-3-Clause"), ("The MIT License\n", "MIT"), ("an MIT License thing\n", None), ("MIT\nLicense", None),
+    (GPL.format("", "", "2").replace("of the License, or", ", or"), "GPL-2.0"), (GPL.format("", "Lesser ", "2.1").replace(" of the License, or", ", or"), "LGPL-2.1"),
+    ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"), ("This work is not licensed under the MIT license.", "MIT"),
     ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("No license here; permission was hereby granted by nobody.", None), ("He studied under MIT professors.", None), ("", None), (None, None),
 ]
 
