@@ -108,6 +108,19 @@ def best_judged(titles: Column, candidate: Column) -> Column:
     return F.aggregate(titles, F.struct(F.lit(False).alias("ok"), F.lit(0.0).alias("score")), step)
 
 
+def safe_aliases(owned: Column, aliases: Column) -> Column:
+    """The aliases that may stand for an owned title where candidates are accepted: no initials, which are one identifying word of four letters at most for a title of twice as many."""
+    letters = lambda key: F.length(F.replace(key, F.lit(" "), F.lit("")))
+    whole = letters(norm(owned))
+
+    def safe(alias: Column) -> Column:
+        key = norm(alias)
+        short = (F.size(significant(F.split(key, " "))) == 1) & (letters(key) <= 4) & (whole >= 2 * letters(key))
+        return (key != "") & ~short
+
+    return F.filter(aliases, safe)
+
+
 def confidence(matched_by: Column, anchor: Column, listed: Column, impossible: Column) -> Column:
     """0 to 100: what the way of matching is worth, less what the title's place and the platform cost.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.sources.staging import released, staged
 
@@ -91,3 +91,33 @@ def kin(nodes: DataFrame, links: DataFrame) -> DataFrame:
     other = links.select("parent", F.col("id").alias("kin"))
     beside = links.join(other, "parent").filter("id <> kin").select("id", "kin", F.lit("sibling").alias("relation"))
     return up.unionByName(down).unionByName(beside).join(nodes.select("id"), "id", "left_semi").distinct()
+
+
+# The type of a remake, and types that are another form of one game.
+REMAKE, SAME_GAME = 8, (0, 9, 10, 11)
+
+
+def lineage(graph: DataFrame, hops: int = 4) -> DataFrame:
+    """(id, version_root, same_game_root, remake_of) for each node (id, type, version_parent, parent); a version's parent comes before the other.
+
+    version_root: the oldest ancestor, but a remake is where its line begins. same_game_root: the oldest reached
+    through forms of one game only. remake_of: for a remake, the same-game root of what it was made of. A walk
+    takes `hops` steps at most, never goes back to where it was, and may end at an id that the graph doesn't have.
+    """
+    nodes = graph.select("id", F.coalesce("type", F.lit(-1)).alias("type"), F.coalesce(F.nullif("version_parent", F.lit(0)), F.nullif("parent", F.lit(0))).alias("up"))
+    step = nodes.select(F.col("id").alias("at"), F.col("type").alias("_type"), F.col("up").alias("_up"))
+
+    def walk(rows: DataFrame, go: Column) -> DataFrame:
+        rows = rows.withColumn("seen", F.array("at"))
+        for _ in range(hops):
+            on = go & F.col("_up").isNotNull() & ~F.array_contains("seen", F.col("_up"))
+            rows = rows.join(step, "at", "left").withColumn("_on", F.coalesce(on, F.lit(False)))
+            rows = rows.select("id", F.when(F.col("_on"), F.col("_up")).otherwise(F.col("at")).alias("at"), F.when(F.col("_on"), F.array_append("seen", F.col("_up"))).otherwise(F.col("seen")).alias("seen"))
+        return rows.select("id", "at")
+
+    same = F.col("_type").isin(*SAME_GAME)
+    here = nodes.select("id", F.col("id").alias("at"))
+    version = walk(here, F.col("_type") != REMAKE).withColumnRenamed("at", "version_root")
+    game = walk(here, same).withColumnRenamed("at", "same_game_root")
+    made = walk(nodes.filter((F.col("type") == REMAKE) & F.col("up").isNotNull()).select("id", F.col("up").alias("at")), same).withColumnRenamed("at", "remake_of")
+    return version.join(game, "id").join(made, "id", "left")

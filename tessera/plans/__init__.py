@@ -1,3 +1,3 @@
 """The queries, by family."""
 
-from . import assets, catalog, decisions, extensions, files, grid, identity, index, ledger, patch, published, streams, surface, sync  # noqa: F401
+from . import assets, catalog, decisions, extensions, files, grid, identity, index, ledger, patch, platforms, published, streams, surface, sync  # noqa: F401
