@@ -95,3 +95,11 @@ def unofficial(entries: DataFrame, kinds: list[str]) -> DataFrame:
     """entries (norm_key, platform, kind, is_store) with `blocked`: an unofficial kind with no store entry of its title."""
     store = F.max(F.col("is_store")).over(Window.partitionBy("norm_key"))
     return entries.withColumn("blocked", F.col("kind").isin(kinds) & ~store)
+
+
+def target_flags(games: DataFrame, links: DataFrame, attributes: DataFrame, kinds: list[str], identity: str) -> DataFrame:
+    """games (game_id) with unmatched (no provider's link), unidentified (none of the identity provider) and missing (an attribute kind of `kinds` is)."""
+    of_links = links.groupBy("game_id").agg(F.max(F.col("provider") == identity).alias("_identified"))
+    has = attributes.filter(F.col("kind").isin(kinds)).groupBy("game_id").agg(F.size(F.collect_set("kind")).alias("_kinds"))
+    rows = games.select("game_id").join(of_links, "game_id", "left").join(has, "game_id", "left")
+    return rows.select("game_id", F.col("_identified").isNull().alias("unmatched"), (~F.coalesce("_identified", F.lit(False))).alias("unidentified"), (F.coalesce("_kinds", F.lit(0)) < len(kinds)).alias("missing"))

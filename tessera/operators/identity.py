@@ -67,3 +67,23 @@ def fits_of_entry(asked: DataFrame, candidates: DataFrame) -> DataFrame:
     on = rows.groupBy("entry", "platform").agg(F.count(F.lit(1)).alias("fits"), F.min("cand").alias("one"))
     known = rows.groupBy("entry").agg(F.min("gen").alias("gen"))
     return asked.join(known, "entry").join(on, ["entry", "platform"], "left").select("id", F.coalesce("fits", F.lit(0)).alias("fits"), "one", "gen")
+
+
+# Sources that are no stores, and types of what holds several games.
+NO_STORES, BUNDLES = ("emulation", "archive"), (3, 13)
+
+
+def refused_identities(bindings: DataFrame, sources: DataFrame, types: DataFrame) -> DataFrame:
+    """(norm_key, identity_id, why) of bindings (norm_key, identity_id) that can't be one game's.
+
+    compilation: the identity (types: identity_id, type) is of a kind that holds several games. many_to_one: one store
+    (sources: norm_key, source, source_id) sold several things of several titles under it; dumps and archives don't
+    count, and no more do copies in different stores. Two of a kind are found by the smallest and the largest.
+    """
+    typed = bindings.join(types.select("identity_id", "type"), "identity_id", "left").withColumn("_bundle", F.coalesce(F.col("type").isin(*BUNDLES), F.lit(False)))
+    rows = typed.filter("not _bundle").join(sources.filter(~F.col("source").isin(*NO_STORES) & (F.coalesce("source_id", F.lit("")) != "")), "norm_key")
+    sold = rows.groupBy("identity_id", "source").agg(*(f(c).alias(f"_{n}_{c}") for c in ("norm_key", "source_id") for n, f in (("min", F.min), ("max", F.max))))
+    several = sold.filter("_min_norm_key <> _max_norm_key and _min_source_id <> _max_source_id").select("identity_id", "source")
+    many = rows.join(several, ["identity_id", "source"], "left_semi").select("norm_key", "identity_id").distinct()
+    bundles = typed.filter("_bundle").select("norm_key", "identity_id").distinct()
+    return bundles.withColumn("why", F.lit("compilation")).unionByName(many.withColumn("why", F.lit("many_to_one")))

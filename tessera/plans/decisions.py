@@ -155,10 +155,13 @@ def merge_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("key", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("p_retailprice") * 100)).cast("long").alias("cents"), F.min("p_partkey").alias("first"))
 
 
-@query("""select c_custkey, n = 0 as unmatched, f = 0 as unidentified, coalesce(k, 0) < 5 as missing from customer left join (select o_custkey, count(*) as n, count(*) filter (o_orderstatus = 'F') as f, count(distinct o_orderpriority) as k from orders group by 1) on o_custkey = c_custkey where n is not null""")
+@query("""select c_custkey, n is null as unmatched, coalesce(f, 0) = 0 as unidentified, coalesce(k, 0) < 5 as missing from customer left join (select o_custkey, count(*) as n, count(*) filter (o_orderpriority = '1-URGENT') as f, count(distinct o_orderpriority) as k from orders where o_orderkey % 40 < 6 group by 1) on o_custkey = c_custkey""")
 def target_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("f"), F.countDistinct("o_orderpriority").alias("k"))
-    return table(spark, sf_dir, "customer").join(o, "c_custkey").select("c_custkey", (F.col("n") == 0).alias("unmatched"), (F.col("f") == 0).alias("unidentified"), (F.col("k") < 5).alias("missing"))
+    """Customers as games: some of their orders are links, by priority of a provider, and attributes by kind."""
+    o = table(spark, sf_dir, "orders").filter("o_orderkey % 40 < 6").select(F.col("o_custkey").alias("game_id"), F.col("o_orderpriority").alias("provider"), F.col("o_orderpriority").alias("kind"))
+    games = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("game_id"))
+    kinds = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return D.target_flags(games, o, o, kinds, "1-URGENT").withColumnRenamed("game_id", "c_custkey")
 
 
 @query("select o_orderpriority as kind, count(*) filter (o_orderstatus = 'F') as f, count(*) filter (o_orderstatus = 'O') as o, count(*) filter (o_orderstatus = 'P') as p from orders group by 1")

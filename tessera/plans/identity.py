@@ -223,3 +223,17 @@ def era_aware_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the candidates of a part that can be picked are two: the earliest dated and the first; no list of all is made
     best = c.groupBy("id").agg(F.array_compact(F.array(F.min(F.when(F.col("c.year").isNotNull(), F.col("c"))), F.min_by("c", "c.rank"))).alias("cs"))
     return _era_parts(spark, sf_dir).join(best, "id").select("id", E.era_aware_pick(F.col("cs"), F.col("label"))["rank"].alias("picked"))
+
+
+@query("""with b as (select distinct 'k' || p_partkey % 900 as norm_key, p_partkey % 900 // 2 % 200 as identity_id from part), s as (select 'k' || l_partkey % 900 as norm_key, case l_linenumber % 4 when 0 then 'emulation' else l_returnflag end as source, case when l_suppkey % 6 > 0 then cast(l_suppkey % 12 as varchar) else '' end as source_id from lineitem where l_quantity > 49),
+t as (select s_suppkey as identity_id, s_nationkey % 15 as type from supplier), x as (select b.*, coalesce(type in (3, 13), false) as bundle from b left join t using (identity_id)),
+r as (select norm_key, identity_id, source, source_id from x join s using (norm_key) where not bundle and source <> 'emulation' and source_id <> ''),
+m as (select identity_id, source from r group by all having count(distinct norm_key) > 1 and count(distinct source_id) > 1)
+select norm_key, identity_id, 'compilation' as why from x where bundle union all select distinct norm_key, identity_id, 'many_to_one' from r join m using (identity_id, source)""")
+def identity_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda c: F.concat(F.lit("k"), (F.col(c) % 900).cast("string")).alias("norm_key")
+    bindings = table(spark, sf_dir, "part").select(name("p_partkey"), F.expr("p_partkey % 900 div 2 % 200").alias("identity_id")).distinct()
+    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 49")
+    sources = li.select(name("l_partkey"), F.when(F.col("l_linenumber") % 4 == 0, "emulation").otherwise(F.col("l_returnflag")).alias("source"), F.when(F.col("l_suppkey") % 6 > 0, (F.col("l_suppkey") % 12).cast("string")).otherwise("").alias("source_id"))
+    types = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("identity_id"), (F.col("s_nationkey") % 15).alias("type"))
+    return I.refused_identities(bindings, sources, types)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.operators import sync as Y
+from tessera.operators import sync as Y, publishing as B
 from tessera.sources.tables import table
 
 from .registry import query
@@ -122,3 +122,50 @@ def materialize_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey")
     return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", (F.row_number().over(w) <= 3).alias("kept"))
+
+
+# orders are entries that are wanted on a customer's device; their line items are discs
+_ITEMS_SQL = """want as (select o_orderkey as key from orders where o_orderstatus <> 'P' union all select o_orderkey + 10000000 from orders where o_orderkey % 50 = 0), entries as (select o_orderkey as key, ['snes', 'psx', 'pc'][o_custkey % 3 + 1] as system from orders),
+files as (select l_orderkey as key, l_linenumber as disc, ['bin', 'iso', 'zip'][l_suppkey % 3 + 1] as ext, cast(sum(cast(floor(l_quantity) as bigint)) as varchar) as sig, cast(sum(cast(floor(l_extendedprice) as bigint)) as bigint) as bytes from lineitem where l_orderkey % 17 > 0 group by all),
+ledger as (select l_orderkey as key, cast(max(cast(floor(l_quantity) as bigint)) as varchar) as sig from lineitem where l_orderkey % 3 = 0 group by 1), gone as (select o_orderkey as key from orders where o_orderkey % 9 = 0),
+formats(system, ext, target_ext, tool) as (values ('psx', 'bin', 'chd', 'chdman'), ('psx', 'iso', 'chd', 'chdman'), ('pc', 'iso', 'cso', 'ciso')),
+j as (select w.key, e.system, f.disc, f.sig, f.bytes, m.target_ext, m.tool, l.key is not null as led, l.sig as done, g.key is not null as gone, e.key is not null as known from want w left join entries e using (key) left join files f using (key) left join formats m on m.system = e.system and m.ext = f.ext left join ledger l using (key) left join gone g using (key)),
+b as (select *, case when not known then 'unknown entry' when disc is null then 'no source file' when tool = 'ciso' then 'ciso not available' end as blocker from j),
+items as (select key, disc, case when blocker is not null then 'blocked' when not led or gone then case when tool is null then 'copy' else 'convert' end when sig is distinct from done then 'update' else 'skip' end as action,
+case when not known then 'entry is not in the catalog' when disc is null then 'no file of it is known' when not led then 'not present on the target' when gone then 'published, but not on the target now' when sig is distinct from done then 'source changed since it was published' else 'unchanged' end as reason,
+case when disc is not null then tool end as tool, target_ext, coalesce(bytes, 0) as bytes, blocker from b
+union all select key, null, case when g.key is not null then 'skip' else 'remove' end, case when g.key is not null then 'not wanted any more, and already gone' else 'not wanted any more' end, null, null, 0, null from ledger left join gone g using (key) where key not in (select key from want))"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key = F.col("o_orderkey").alias("key")
+    want = o.filter("o_orderstatus <> 'P'").select(key).unionByName(o.filter("o_orderkey % 50 = 0").select((F.col("o_orderkey") + 10_000_000).alias("key")))
+    system, ext = (F.array(*map(F.lit, names))[F.expr(at)] for names, at in ((("snes", "psx", "pc"), "cast(o_custkey % 3 as int)"), (("bin", "iso", "zip"), "cast(l_suppkey % 3 as int)")))
+    whole = lambda c: F.floor(c).cast("long")
+    files = li.filter("l_orderkey % 17 > 0").groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("disc"), ext.alias("ext")).agg(F.sum(whole("l_quantity")).cast("string").alias("sig"), F.sum(whole("l_extendedprice")).alias("bytes"))
+    ledger = li.filter("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("key")).agg(F.max(whole("l_quantity")).cast("string").alias("sig"))
+    formats = spark.createDataFrame([("psx", "bin", "chd", "chdman"), ("psx", "iso", "chd", "chdman"), ("pc", "iso", "cso", "ciso")], "system string, ext string, target_ext string, tool string")
+    tools = spark.createDataFrame([("chdman",)], "tool string")
+    return B.items(want, o.select(key, system.alias("system")), files, ledger, o.filter("o_orderkey % 9 = 0").select(key), formats, tools)
+
+
+@query(f"with {_ITEMS_SQL} select * from items")
+def publish_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir)
+
+
+@query(f"with {_ITEMS_SQL}, n as (select o_custkey as device, sum(case when action in ('copy', 'convert', 'update') then bytes else 0 end) as need from items join orders on o_orderkey = key group by 1), f as (select c_custkey as device, cast(floor(c_acctbal * 50) as bigint) as free from customer where c_custkey % 7 > 0) select device, cast(need as bigint) as need, free, coalesce(need > free, false) as over from n left join f using (device)")
+def publish_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = _items(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("device")), "key")
+    free = table(spark, sf_dir, "customer").filter("c_custkey % 7 > 0").select(F.col("c_custkey").alias("device"), F.floor(F.col("c_acctbal") * 50).cast("long").alias("free"))
+    return B.capacity(planned, free, "device")
+
+
+@query("select o_custkey as target, 'g' || o_orderkey as path from orders where o_orderkey % 5 > 1 and not (o_orderkey % 5 = 2 and o_orderkey % 2 = 0)")
+def publish_unmanaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is seen on targets, less what was put there, as itself or as a further path of another."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("target"), F.concat(F.lit("g"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderkey") % 5).alias("r"), F.col("o_orderkey").alias("k"))
+    extra = o.filter("r = 2 and k % 2 = 0").groupBy("target").agg(F.collect_list("path").alias("extra"))
+    main = o.filter("r < 2").select("target", "path", F.lit(None).cast("array<string>").alias("extra"))
+    return B.unmanaged(o.select("target", "path"), main.unionByName(extra.select("target", F.lit("none").alias("path"), "extra")))
