@@ -88,3 +88,28 @@ def test_pipeline(spark, tmp_path):
         assert at == n
     filled = np.array([sum(n for _, n in ends[k]) for k in range(len(ends))])
     assert (filled[:-1] == 1024).all()
+
+
+def stages(spark, folder, rows):
+    """What is left after all stages but packing, and the pieces that the whole run gives."""
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(str(folder / "documents.parquet"))
+    docs = spark.read.parquet(str(folder / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(folder))
+    return docs.collect(), corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Rows without an id, several rows of one id, equal rows, and nulls in every other column: nothing crashes, and each clean text stays once."""
+    rng = random.Random(3)
+    clean = [" ".join(f"{rng.choice('abcdef')}{rng.randrange(2000)}" for _ in range(120)) for _ in range(8)]
+    rows = [(1, clean[0], "en", "s", 1), (1, clean[1], None, None, None), (2, clean[2], "en", "s", None), (2, clean[2], "en", "s", None), (None, clean[3], "en", None, 3), (None, clean[4], None, "s", 3), (None, None, None, None, None), (3, clean[3], "en", "s", 2), (4, "", "en", "s", 0), (5, clean[5].upper(), "de", "s", 9), (6, clean[5], "de", "s", 9), (7, clean[6], "fr", "s", 9)]
+    left, pieces = stages(spark, tmp_path, rows)
+    assert {r.text for r in left} == {clean[0], clean[1], clean[2], clean[3], clean[4], clean[5], clean[6]}
+    assert {r.doc_id for r in left} == {1, 2, None, 3, 6, 7} and {r.doc_id for r in pieces} == {1, 2, None, 3, 6, 7}
+    assert sum(r.length for r in pieces if r.start == 0 and r.doc_id == 7) > 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    left, pieces = stages(spark, tmp_path, [])
+    assert left == [] and pieces == []
