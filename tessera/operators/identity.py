@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.eras import generation, impossible, last_year
+from tessera.functions.platforms import canon
+
 
 def siblings(keys: DataFrame, asked: DataFrame) -> DataFrame:
     """Every key of the identity that an asked (ns, val) names."""
@@ -87,3 +90,32 @@ def refused_identities(bindings: DataFrame, sources: DataFrame, types: DataFrame
     many = rows.join(several, ["identity_id", "source"], "left_semi").select("norm_key", "identity_id").distinct()
     bundles = typed.filter("_bundle").select("norm_key", "identity_id").distinct()
     return bundles.withColumn("why", F.lit("compilation")).unionByName(many.withColumn("why", F.lit("many_to_one")))
+
+
+def era_picks(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """(key, id) for each key asked: the candidate of its title that fits in time and hardware, null where none can be told.
+
+    asked: key, consoles (labels), platform, year (stated, or null), unique (whether two left are one too many);
+    hits: key, rank, id, year, platforms, the candidates of equal titles. A candidate that is too new for every console is
+    out; a console's entry takes those that name it, and none if all name others only; a stated year that one alone has
+    decides. What is left is taken by year, the earliest first, on consoles whose era is known, else by rank.
+    All of it follows from counts and smallest values, so one grouping does and no list of candidates is made.
+    """
+    consoles = F.coalesce("consoles", F.array().cast("array<string>"))
+    rows = asked.withColumnRenamed("year", "_want").join(hits.select("key", "rank", "id", "year", "platforms"), "key", "left")
+    fine = F.col("id").isNotNull() & (F.col("year").isNull() | (F.size(consoles) == 0) | ~F.forall(consoles, lambda c: impossible(c, F.col("year"))))
+    theirs = F.transform(F.filter(F.coalesce("platforms", F.array().cast("array<string>")), lambda p: p.isNotNull() & (p != "")), lambda p: canon(p))
+    stated, fits = fine & (F.size(theirs) > 0), fine & F.array_contains(theirs, canon(F.col("platform")))
+    bound = F.exists(consoles, lambda c: last_year(c).isNotNull())
+    order = F.struct(F.when(bound & F.col("year").isNull(), 1).otherwise(0).alias("undated"), F.when(bound, F.col("year")).alias("year"), "rank", "id")
+    same = F.col("year") == F.col("_want")
+    rows = rows.select("key", "unique", generation(canon(F.col("platform"))).isNotNull().alias("console"), fine.alias("fine"), stated.alias("stated"), F.coalesce(fits, F.lit(False)).alias("fits"), F.coalesce(same, F.lit(False)).alias("same"), order.alias("order"))
+    sets = {"o": F.col("fine"), "f": F.col("fits")}
+    counts = [x for n, on in sets.items() for x in (F.count_if(on).alias(f"n_{n}"), F.count_if(on & F.col("same")).alias(f"y_{n}"), F.min(F.when(on & F.col("same"), F.col("order"))).alias(f"s_{n}"), F.min(F.when(on, F.col("order"))).alias(f"b_{n}"))]
+    found = rows.groupBy("key", "unique", "console").agg(F.count_if("stated").alias("n_stated"), *counts)
+    only = F.col("console") & (F.col("n_f") > 0)
+    of = lambda c: F.when(only, F.col(f"{c}_f")).otherwise(F.col(f"{c}_o"))
+    elsewhere = F.col("console") & (F.col("n_f") == 0) & (F.col("n_stated") > 0) & (F.col("n_stated") == F.col("n_o"))
+    by_year = (of("n") > 1) & (of("y") == 1)
+    chosen = F.when(elsewhere, None).when(by_year, of("s")["id"]).when(F.col("unique") & (of("n") > 1), None).otherwise(of("b")["id"])
+    return found.select("key", chosen.alias("id"))

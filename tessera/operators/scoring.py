@@ -42,3 +42,18 @@ def verdict(used: Column, limit: Column, unpriced: Column | None = None) -> Colu
     """over, at or under a limit; none without one; blocked where a price is missing."""
     plain = F.when(limit.isNull(), "none").when(used > limit, "over").when(used == limit, "at").otherwise("under")
     return plain if unpriced is None else F.when(limit.isNotNull() & unpriced, "blocked").otherwise(plain)
+
+
+def enforced(usage: DataFrame, caps: DataFrame, pending: DataFrame) -> DataFrame:
+    """(scope, key, hit) for each row of caps: which of its limits stops the next call, null where none does.
+
+    usage: scope, key, total, input, output, cents, unpriced (whether something used has no price); caps: the same names
+    as limits, null or 0 for none; pending: scope, key of calls about to be made without a price. Any limit is enough,
+    in the order total, input, output, price, budget; a budget that can't be measured stops, as it can't be kept.
+    """
+    used = usage.select("scope", "key", *(F.col(c).alias(f"_{c}") for c in ("total", "input", "output", "cents", "unpriced")))
+    rows = caps.join(used, ["scope", "key"], "left").join(pending.select("scope", "key", F.lit(True).alias("_pending")).distinct(), ["scope", "key"], "left")
+    over = lambda c: (F.coalesce(c, F.lit(0)) > 0) & (F.coalesce(F.col(f"_{c}"), F.lit(0)) >= F.col(c))
+    budget = F.coalesce("cents", F.lit(0)) > 0
+    hit = F.when(over("total"), "total").when(over("input"), "input").when(over("output"), "output").when(budget & F.col("_pending"), "unpriced call").when(budget & F.col("_unpriced"), "unpriced usage").when(over("cents"), "budget")
+    return rows.select("scope", "key", hit.alias("hit"))

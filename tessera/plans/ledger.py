@@ -128,3 +128,15 @@ def invariant_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = QUERIES[f"invariant_{name}"](spark, sf_dir).select(F.lit(name).alias("k"), F.col("violations").alias("c"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(f"""with u as (select user_id as key, count(*) as total, count(*) filter (event_type = 'click') as input, count(*) filter (event_type = 'view') as output, sum({_CENTS})::bigint as cents, bool_or(event_type = 'error' and value > 97) as unpriced from events group by 1),
+c as (select c_custkey as key, case when c_custkey % 5 > 0 then 60 + c_custkey % 40 end as total, case when c_custkey % 3 = 0 then 20 else 0 end as input, case when c_custkey % 4 = 0 then 20 end as output, case when c_custkey % 2 = 0 then 200000 + c_custkey * 100 end as cents from customer)
+select 'user' as scope, key, case when c.total > 0 and coalesce(u.total, 0) >= c.total then 'total' when c.input > 0 and coalesce(u.input, 0) >= c.input then 'input' when c.output > 0 and coalesce(u.output, 0) >= c.output then 'output' when c.cents > 0 and key % 7 = 0 then 'unpriced call'
+when c.cents > 0 and unpriced then 'unpriced usage' when c.cents > 0 and coalesce(u.cents, 0) >= c.cents then 'budget' end as hit from c left join u using (key)""")
+def caps_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda kind: F.count_if(F.col("event_type") == kind)
+    u = events(spark, sf_dir).groupBy(F.lit("user").alias("scope"), F.col("user_id").alias("key")).agg(F.count(F.lit(1)).alias("total"), count("click").alias("input"), count("view").alias("output"), F.sum("cents").alias("cents"), F.max((F.col("event_type") == "error") & (F.col("value") > 97)).alias("unpriced"))
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.lit("user").alias("scope"), k.alias("key"), F.when(k % 5 > 0, 60 + k % 40).alias("total"), F.when(k % 3 == 0, 20).otherwise(0).alias("input"), F.when(k % 4 == 0, 20).alias("output"), F.when(k % 2 == 0, 200000 + k * 100).alias("cents"))
+    return R.enforced(u, c, c.filter("key % 7 = 0"))

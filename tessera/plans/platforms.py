@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import eras as E, gate, platforms as P
-from tessera.operators import graphs as G
+from tessera.operators import graphs as G, identity as I
 from tessera.sources.tables import table
 
 from . import adapters as A
@@ -77,3 +77,28 @@ r(id, node, seen, d) as (select id, up, [up], 0 from n where type = 8 and up is
 def game_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey as id", "array(0, 8, 9, 2, 11, 10)[p_size % 6] as type", "case when p_partkey % 5 = 0 then p_partkey div 2 else 0L end as version_parent", "case when p_partkey % 3 > 0 then p_partkey div 3 + 1 else 0L end as parent")
     return G.lineage(rows)
+
+
+_ERA_NAMES = ["atari 2600", "snes", "pc", "psx", "gameboy", "unheard of", "nintendo switch", "dreamcast"]
+_TOKEN = "(case lower(trim({p})) " + " ".join(f"when '{k}' then '{v}'" for k, v in E.TOKENS.items()) + " else lower(trim({p})) end)"
+
+
+@query(f"""with {_CANON_SQL}, {_GEN_SQL}, eras(token, last) as (values {', '.join(f"('{E.TOKENS.get(k, k)}', {b})" for k, (_, b) in E.ERAS.items())}), names as (select unnest({_ERA_NAMES!r}) as label, unnest(range({len(_ERA_NAMES)})) as k),
+info as (select k, label, last, c as canonical, gen is not null as console from (select names.*, {_TOKEN.format(p='label')} as token from names) left join eras using (token) left join canon on alias = regexp_replace(label, '[^a-z0-9]', '', 'g') left join gens using (c)),
+asked as (select p_partkey as key, p_partkey % {len(_ERA_NAMES)} as k, p_partkey % 4 = 1 as two, case when p_size % 3 = 0 then 1992 + p_size % 7 end as want, p_size % 5 = 0 as uniq from part),
+h as (select l_partkey as key, l_orderkey * 10 + l_linenumber as rank, l_orderkey as id, case when l_linenumber % 5 > 0 then cast(year(l_shipdate) as int) end as year, case when l_suppkey % 6 = 0 then null else l_suppkey % {len(_ERA_NAMES)} end as on_k from lineitem where l_quantity > 40),
+r as (select a.key, want, uniq, coalesce(i.console, false) as console, i.last is not null or (two and false) as bound, h.id, h.rank, h.year, h.on_k is not null as stated0, coalesce(o.canonical, regexp_replace(o.label, '[^a-z0-9]', '', 'g')) = coalesce(i.canonical, regexp_replace(i.label, '[^a-z0-9]', '', 'g')) as fit0,
+  h.id is not null and (h.year is null or two or not coalesce(h.year > i.last + {E.TAIL}, false)) as fine from asked a join info i using (k) left join h using (key) left join info o on o.k = h.on_k),
+g as (select key, uniq, console, count(*) filter (fine and stated0) as ns, count(*) filter (fine) as no, count(*) filter (fine and coalesce(fit0, false)) as nf, count(*) filter (fine and year = want) as yo, count(*) filter (fine and coalesce(fit0, false) and year = want) as yf, min(id) filter (fine and year = want) as so, min(id) filter (fine and coalesce(fit0, false) and year = want) as sf,
+  (min(case when bound then ((year is null)::int, coalesce(year, 0), rank, id) else (0, 0, rank, id) end) filter (fine))[4] as bo, (min(case when bound then ((year is null)::int, coalesce(year, 0), rank, id) else (0, 0, rank, id) end) filter (fine and coalesce(fit0, false)))[4] as bf from r group by all)
+select key, case when console and nf = 0 and ns > 0 and ns = no then null when console and nf > 0 then case when nf > 1 and yf = 1 then sf when uniq and nf > 1 then null else bf end when no > 1 and yo = 1 then so when uniq and no > 1 then null else bo end as id from g""")
+def era_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as titles: platforms by key, a second (a PC, on which nothing is too new) for a quarter of them; line items as candidates."""
+    names = F.array(*map(F.lit, _ERA_NAMES))
+    at = lambda c: F.get(names, (c % len(_ERA_NAMES)).cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    consoles = F.when(key % 4 == 1, F.array(at(key), F.lit("pc"))).otherwise(F.array(at(key)))
+    asked = table(spark, sf_dir, "part").select(key.alias("key"), consoles.alias("consoles"), at(key).alias("platform"), F.when(size % 3 == 0, 1992 + size % 7).alias("year"), (size % 5 == 0).alias("unique"))
+    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 40")
+    hits = li.select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank"), F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") % 5 > 0, F.year("l_shipdate")).alias("year"), F.when(F.col("l_suppkey") % 6 > 0, F.array(at(F.col("l_suppkey")))).alias("platforms"))
+    return I.era_picks(asked, hits)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.sources import learned
 from tessera.sources.snapshots import Snapshots, pulled
 from tessera.sources.staging import shared_dir
 from tessera.sources.tables import table
@@ -55,3 +56,17 @@ def resumable_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id as id, 'timeout' as kind, case when event_id <= 2 * (m // 4 + 1) then 1000::bigint else 2000 end as first_seen, 3000::bigint as last_seen, 2::bigint as tries from events, (select max(event_id) as m from events) where event_id > 0 and event_type = 'error' and event_id % 6 = 0")
 def sweep_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walked(spark, sf_dir).gaps()
+
+
+@query("""with there as (select 'cust' as ns, cast(c_custkey as varchar) as val, c_custkey as identity_id from customer where c_custkey % 3 > 0), new as (select 'cust' as ns, cast(c_custkey as varchar) as val, c_custkey + 5000000 as identity_id from customer where c_custkey % 2 = 0)
+select 'keys' as kind, ns, val, identity_id from there union all select 'keys', * from new where val not in (select val from there) union all select 'overrides', * from new union all select 'overrides', * from there where val not in (select val from new)""")
+def learned_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and overrides of two installations, one taken into the other through JSON."""
+    c = table(spark, sf_dir, "customer")
+    rows = lambda where, more: c.filter(where).select(F.lit("cust").alias("ns"), F.col("c_custkey").cast("string").alias("val"), (F.col("c_custkey") + more).alias("identity_id"))
+    there, new = rows("c_custkey % 3 > 0", 0), rows("c_custkey % 2 = 0", 5_000_000)
+    of = lambda t: {"identities": t.select(F.col("identity_id").alias("id")), "keys": t, "overrides": t}
+    path = _root(spark, "learned")
+    learned.exported(of(new), path)
+    out = learned.imported(spark, path, of(there))
+    return out["keys"].withColumn("kind", F.lit("keys")).unionByName(out["overrides"].withColumn("kind", F.lit("overrides"))).select("kind", "ns", "val", "identity_id")
