@@ -19,59 +19,62 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 FOUND, MISSED, HIT, FRESH_MISS, EXPIRED = "found", "missed", "hit", "fresh_miss", "expired"
 
 
-class Answers(StatefulProcessor):
-    """Rows (key, at in milliseconds, id or null where a search would find nothing) to rows (key, at, id, how).
-
-    found or missed: the question is searched for; hit: a found id is given again; fresh_miss: a miss that
-    still counts suppresses the search; expired: a miss ends, at its time to live. Within a batch a key's
-    rows are taken in order of time, so that batches of any size give the same rows.
-    """
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("answer", "id long, at long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        kept = self.state.get() if self.state.exists() else None
-        known, at = kept if kept else (None, None)
-        before = at if known is None else None
-        for row in sorted(rows, key=lambda r: r.at):
-            if known is None and at is not None and row.at >= at + self.ttl:
-                yield Row(key=key[0], at=at + self.ttl, id=None, how=EXPIRED)
-                at = None
-            if known is not None:
-                yield Row(key=key[0], at=row.at, id=known, how=HIT)
-            elif at is not None:
-                yield Row(key=key[0], at=row.at, id=None, how=FRESH_MISS)
-            else:
-                known, at = row.id, row.at
-                yield Row(key=key[0], at=row.at, id=known, how=MISSED if known is None else FOUND)
-        self.state.update((known, at))
-        if before != (at if known is None else None):
-            if before is not None:
-                self.handle.deleteTimer(before + self.ttl)
-            if known is None:
-                self.handle.registerTimer(at + self.ttl)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        self.state.clear()
-        yield Row(key=key[0], at=expiredTimerInfo.getExpiryTimeInMs(), id=None, how=EXPIRED)
-
-    def close(self) -> None:
-        pass
+def answers(ttl: int) -> StatefulProcessor:
+    """The processor for a time to live in milliseconds. It is a class of this call, so that workers get it by value: not all of them can import this package."""
+
+    class Answers(StatefulProcessor):
+        """Rows (key, at in milliseconds, id or null where a search would find nothing) to rows (key, at, id, how).
+
+        found or missed: the question is searched for; hit: a found id is given again; fresh_miss: a miss that
+        still counts suppresses the search; expired: a miss ends, at its time to live. Within a batch a key's
+        rows are taken in order of time (at one moment: found ids first), so that batches of any size give the
+        same rows; a task holds one key's rows of one batch.
+        """
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("answer", "id long, at long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+            kept = self.state.get() if self.state.exists() else None
+            known, at = kept if kept else (None, None)
+            before = at if known is None else None
+            for row in sorted(rows, key=lambda r: (r.at, r.id is None, r.id or 0)):
+                if known is None and at is not None and row.at >= at + ttl:
+                    yield Row(key=key[0], at=at + ttl, id=None, how=EXPIRED)
+                    at = None
+                if known is not None:
+                    yield Row(key=key[0], at=row.at, id=known, how=HIT)
+                elif at is not None:
+                    yield Row(key=key[0], at=row.at, id=None, how=FRESH_MISS)
+                else:
+                    known, at = row.id, row.at
+                    yield Row(key=key[0], at=row.at, id=known, how=MISSED if known is None else FOUND)
+            self.state.update((known, at))
+            if before != (at if known is None else None):
+                if before is not None:
+                    self.handle.deleteTimer(before + ttl)
+                if known is None:
+                    self.handle.registerTimer(at + ttl)
+
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+            self.state.clear()
+            yield Row(key=key[0], at=expiredTimerInfo.getExpiryTimeInMs(), id=None, how=EXPIRED)
+
+        def close(self) -> None:
+            pass
+
+    return Answers()
 
 
 def answered(asked: DataFrame, key: Column, at: Column, id: Column, ttl_ms: int, late: str = "0 seconds") -> DataFrame:
-    """(key string, at timestamp, id, how) of a stream of questions; see Answers. Null keys are one key, the empty string.
+    """(key string, at timestamp, id, how) of a stream of questions; see answers(). Null keys are one key, the empty string.
 
     Questions that come later than the watermark's delay are dropped. Needs the RocksDB state store: see served().
     """
     rows = asked.select(F.coalesce(key.cast("string"), F.lit("")).alias("key"), at.cast("timestamp").alias("time"), id.cast("long").alias("id")).filter("time is not null")
     rows = rows.withWatermark("time", late).withColumn("at", F.unix_millis("time"))
-    out = rows.groupBy("key").transformWithState(Answers(ttl_ms), "key string, at long, id long, how string", "append", "EventTime")
+    out = rows.groupBy("key").transformWithState(answers(ttl_ms), "key string, at long, id long, how string", "append", "EventTime")
     return out.select("key", F.timestamp_millis("at").alias("at"), "id", "how")
 
 
