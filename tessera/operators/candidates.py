@@ -12,6 +12,21 @@ from tessera.functions import gate
 
 #: Postings in a piece of a list.
 PIECE = 1024
+#: Rows of one kind in a list of its members.
+MEMBERS = 1024
+
+
+def members(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, part, ids): the ids of rows that are alike in `by`, in lists of some MEMBERS; ids hold structs, so that a null one stays."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    dealt = rows.join(sizes, by).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / MEMBERS)).cast("int"))
+    return dealt.groupBy(*by, "part").agg(F.collect_list(F.struct("id")).alias("ids"))
+
+
+def all_members(pairs: DataFrame, *columns: str) -> DataFrame:
+    """(a, b, columns): every id of ids_a with every id of ids_b."""
+    one = pairs.select(F.explode("ids_a").alias("a"), "ids_b", *columns)
+    return one.select("a.id", F.explode("ids_b").alias("b"), *columns).select(F.col("id").alias("a"), F.col("b.id").alias("b"), *columns)
 
 
 def postings(kinds: DataFrame, tokens: Column) -> DataFrame:
@@ -103,3 +118,23 @@ def alike(rows: DataFrame, id: str, block: list[str], key: Column, percent: int)
     n_a, n_b = F.size("words_a"), F.size("words_b")
     fits = pairs.filter(F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent).withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))
     return fits.filter(F.col("shared") * 100 >= (n_a + n_b - F.col("shared")) * percent).select("a", "b", "rows_a", "rows_b", "shared")
+
+
+def sharing(rows: DataFrame, id: str, block: list[str], key: Column, least: int) -> DataFrame:
+    """(a, b, shared) for all rows of a block whose keys differ and have `least` words or more in common, a having the smaller key.
+
+    Keys are compared, each pair once, and their rows follow. Two keys of so many words in common have one of them among the first
+    n - least + 1 words of both, in an order that puts rare words first. Rows with a null in `block` have no pair. Ids must be unique.
+    """
+    each = rows.dropna(subset=block).select(F.col(id).alias("id"), F.struct(*block).alias("block"), key.alias("k")).distinct()
+    words = lambda k: F.array_distinct(F.filter(F.split(k, " "), lambda w: w != ""))
+    kinds = each.select("block", "k").distinct().filter(F.size(words(F.col("k"))) >= least)
+    lists = postings(kinds, words(F.col("k")))
+    ordered = lists.groupBy("block", "k").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))  # a key's words
+    probes = ordered.select("block", "k", F.explode(F.slice("o", F.lit(1), F.size("o") - (least - 1))).alias("p")).select("block", "k", "p.token")
+    first = probes.join(lists.select("block", "token", "k", "piece", "n"), ["block", "token", "k"])
+    met = meetings(probes, first).filter("k < other")
+    pairs = met.withColumn("shared", F.size(F.array_intersect(words(F.col("k")), words(F.col("other")))).cast("long")).filter(F.col("shared") >= least)
+    of = members(each, ["block", "k"])
+    side = lambda k, n: of.select("block", F.col("k").alias(k), F.col("ids").alias(f"ids_{n}"))
+    return all_members(pairs.join(side("k", "a"), ["block", "k"]).join(side("other", "b"), ["block", "other"]), "shared")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.titles import norm
 from tessera.operators import catalog as C, search as S
-from tessera.operators.candidates import alike
+from tessera.operators.candidates import alike, sharing
 from tessera.sources.tables import table
 
 from . import adapters as A
@@ -95,10 +95,17 @@ def nongame_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", S.hidden(override, F.col("p_type") == "PROMO", F.contains("p_name", F.lit("gizmo"))).alias("hidden"))
 
 
+@query(f"with {A.TITLES_SQL}, k as (select p_partkey, platform, p_brand, {A.norm_sql('title_raw')} as key from titles), t as (select distinct p_partkey, platform, p_brand, key, unnest(string_split(key, ' ')) as tok from k) "
+       "select a.p_partkey as a, b.p_partkey as b, count(*) as shared from t a join t b on a.tok = b.tok and a.platform = b.platform and a.p_brand = b.p_brand and a.key < b.key group by all having count(*) >= 2")
+def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of one platform and brand whose keys differ and share two words or more."""
+    return sharing(A.titles(spark, sf_dir), "p_partkey", ["platform", "p_brand"], norm(F.col("title_raw")), 2)
+
+
 @query(f"""with {A.TITLES_SQL}, k as (select platform, p_brand, {A.norm_sql('title_raw')} as key, p_partkey from titles), g as (select platform, p_brand, key, min(p_partkey) as id, count(*) as rows, list_distinct(list_filter(string_split(key, ' '), lambda w: w <> '')) as words from k group by all),
 t as (select *, unnest(words) as tok from g), p as (select a.id as a, b.id as b, a.rows as rows_a, b.rows as rows_b, len(a.words) as n, len(b.words) as m, count(*) as shared from t a join t b on a.tok = b.tok and a.platform = b.platform and a.p_brand = b.p_brand and a.key < b.key group by all)
 select a, b, rows_a, rows_b, shared from p where shared * 100 >= (n + m - shared) * 50""")
-def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of one platform and brand that share half of their words or more, by their smallest parts; rows of one key are no pair."""
     return alike(A.titles(spark, sf_dir), "p_partkey", ["platform", "p_brand"], norm(F.col("title_raw")), 50)
 

@@ -67,3 +67,28 @@ def test_what_meets_grows_with_the_titles(spark):
 
     small, large = formed(300), formed(1200)
     assert large <= 4.2 * small
+
+
+@pytest.mark.parametrize("least,piece,members", [(2, 1024, 1024), (2, 3, 2), (1, 2, 3), (3, 1024, 1)])
+def test_sharing(spark, monkeypatch, least, piece, members):
+    """All rows of all keys that have so many words in common, however many more words they have."""
+    monkeypatch.setattr(C, "PIECE", piece)
+    monkeypatch.setattr(C, "MEMBERS", members)
+    data = titles(200, 7) + [(1000, None, "Star Wars II"), (1001, None, "Star Wars"), (1002, "a", "Star Wars a b c d e f g h"), (1003, "a", "Star Wars k l m n o p q r")]
+    rows = spark.createDataFrame(data, "id long, block string, title string")
+    out = C.sharing(rows, "id", ["block"], norm(F.col("title")), least).collect()
+    keys = [(r.id, r.block, r.key) for r in rows.select("id", "block", norm(F.col("title")).alias("key")).collect()]
+    want = {(i, j): len(set(x.split()) & set(y.split())) for i, p, x in keys for j, q, y in keys if p is not None and p == q and x < y}
+    want = {(*pair, n) for pair, n in want.items() if n >= least}
+    assert {(r.a, r.b, r.shared) for r in out} == want and len(out) == len(want)
+    assert least > 2 or (1002, 1003, 2) in want
+
+
+def test_duplicate_candidates_are_of_any_length(spark, tmp_path):
+    """Two words in common are enough, and each row of a key counts."""
+    from tessera.plans.registry import QUERIES
+
+    parts = [(0, "red bolt", "b", 1, "t"), (80, "red bolt", "b", 2, "t"), (5, "red bolt of many other words here", "b", 3, "t"), (85, "green bolt", "b", 3, "t"), (10, "red bolt x", "c", 3, "t")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {tuple(r) for r in QUERIES["duplicate_candidates"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 5, 2), (80, 5, 2)}
