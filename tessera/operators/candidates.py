@@ -138,3 +138,20 @@ def sharing(rows: DataFrame, id: str, block: list[str], key: Column, least: int)
     of = members(each, ["block", "k"])
     side = lambda k, n: of.select("block", F.col("k").alias(k), F.col("ids").alias(f"ids_{n}"))
     return all_members(pairs.join(side("k", "a"), ["block", "k"]).join(side("other", "b"), ["block", "other"]), "shared")
+
+
+def judged_pairs(rows: DataFrame, id: str, block: list[str], title: Column) -> DataFrame:
+    """(a, b, ok, score) for all rows of a block with all, themselves included, accepted or not, where both titles have words.
+
+    The gate judges kinds, each pair once, and their rows follow. A block's kinds are dealt to a task for each PIECE of them. Rows
+    with a null in `block` have no pair.
+    """
+    f = gate.features(title)
+    each = rows.dropna(subset=block).select(F.col(id).alias("id"), F.struct(*block).alias("block"), f.alias("f")).filter("size(f.tokens) > 0")
+    lists = members(each, ["block", "f"])
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    sized = lists.join(lists.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block")
+    asking = sized.select("block", F.col("f").alias("f_a"), F.col("ids").alias("ids_a"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    asked = sized.select("block", F.col("f").alias("f_b"), F.col("ids").alias("ids_b"), F.pmod(F.xxhash64("f", "part"), pieces).cast("int").alias("piece"))
+    judged = asking.join(asked, ["block", "piece"]).select("ids_a", "ids_b", gate.judged_features(F.col("f_a"), F.col("f_b")).alias("j"))
+    return all_members(judged.select("ids_a", "ids_b", "j.ok", "j.score"), "ok", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import eras as E, gate, titles as T
 from tessera.operators import identity as I
-from tessera.operators.candidates import best_accepted
+from tessera.operators.candidates import best_accepted, judged_pairs
 from tessera.sources.tables import table
 
 from . import adapters as A
@@ -81,9 +81,17 @@ def gate_sql(pairs: str, owned: str, candidate: str) -> str:
     case when squashed then 2.0::double else (len(qt) - {has('qt', 'ct')})::double / len(qt) + (len(qt) - {has('qt', 'ct')})::double / len(ct) end as score from q25 where len(qt) > 0 and len(ct) > 0)"""
 
 
+@query(f"""with {A.TITLES_SQL}, pairs as (select a.p_partkey as a, b.p_partkey as b, a.title_raw as t, b.title_raw as u from titles a join titles b on a.p_brand = b.p_brand and a.p_size = b.p_size),
+{gate_sql('pairs', 't', 'u')} select a, b, ok, cast(round(score * 1000000) as bigint) as score from q3""")
+def gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gate says of every title and every other of its brand and size, refusals too."""
+    judged = judged_pairs(A.titles(spark, sf_dir), "p_partkey", ["p_brand", "p_size"], F.col("title_raw"))
+    return judged.select("a", "b", "ok", F.round(F.col("score") * 1000000).cast("long").alias("score"))
+
+
 @query(f"""with {A.TITLES_SQL}, pairs as (select a.p_partkey as a, b.p_partkey as b, a.title_raw as t, b.title_raw as u from titles a join titles b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey <> b.p_partkey),
 {gate_sql('pairs', 't', 'u')} select a, -max((score, -b))[2] as b, cast(round(max((score, -b))[1] * 1000000) as bigint) as score from q3 where ok group by a""")
-def gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best that the gate accepts for each title among the others of its brand and size."""
     best = best_accepted(A.titles(spark, sf_dir), "p_partkey", ["p_brand", "p_size"], F.col("title_raw"))
     return best.select("a", "b", F.round(F.col("score") * 1000000).cast("long").alias("score"))

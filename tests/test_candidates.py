@@ -92,3 +92,29 @@ def test_duplicate_candidates_are_of_any_length(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(str(tmp_path / "part.parquet"))
     got = {tuple(r) for r in QUERIES["duplicate_candidates"](spark, str(tmp_path)).collect()}
     assert got == {(0, 5, 2), (80, 5, 2)}
+
+
+@pytest.mark.parametrize("piece,members", [(1024, 1024), (3, 2)])
+def test_judged_pairs(spark, monkeypatch, piece, members):
+    """All with all of a block, accepted or refused, and each with itself."""
+    monkeypatch.setattr(C, "PIECE", piece)
+    monkeypatch.setattr(C, "MEMBERS", members)
+    data = titles(120, 5) + [(1000, None, "Star Wars II"), (1001, None, "Star Wars"), (None, "a", "Star Wars")]
+    rows = spark.createDataFrame(data, "id long, block string, title string")
+    a, b = (rows.select(F.col("id").alias(n), F.col("block").alias(f"of_{n}"), gate.features(F.col("title")).alias(f"f_{n}")) for n in "ab")
+    judged = a.join(b, F.col("of_a") == F.col("of_b")).select("a", "b", gate.judged_features(F.col("f_a"), F.col("f_b")).alias("j")).filter("j is not null")
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    got = order(C.judged_pairs(rows, "id", ["block"], F.col("title")).collect())
+    assert got == order(judged.select("a", "b", "j.ok", "j.score").collect())
+    assert {ok for *_, ok, _ in got} == {True, False}
+
+
+def test_gate_scores_has_refusals(spark, tmp_path):
+    """Refused pairs, second-best ones and a title with itself are rows too."""
+    from tessera.plans.registry import QUERIES
+
+    parts = [(0, "red bolt", "b", 1, "t"), (80, "red bolt", "b", 1, "t"), (16, "green gear", "b", 1, "t"), (32, "red bolt", "b", 2, "t")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r.a, r.b): (r.ok, r.score) for r in QUERIES["gate_scores"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(x, y) for x in (0, 16, 80) for y in (0, 16, 80)} | {(32, 32)}
+    assert got[0, 80] == got[16, 16] == (True, 2000000) and got[0, 16] == (False, 0)
