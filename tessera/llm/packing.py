@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import staged
-from .tokens import encode, slices, wide
+from .tokens import encode, forget, slices, wide
 
 WINDOW = 1024
 
@@ -31,6 +31,7 @@ def cut(encoded: DataFrame, window: int = WINDOW) -> DataFrame:
     placed = encoded.join(F.broadcast(task_offsets(encoded)), "part").select("doc_id", (F.col("start") + F.col("offset")).alias("at"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the ids are written: no task of this stage encodes
         for batch in slices(batches):
             docs, starts, sizes, totals, sequences, offsets, ids = [], [], [], [], [], [], []
             for doc, at, stored in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import id_text, new_path, partitions, staged
 from .packing import task_offsets
-from .tokens import encoder, slices
+from .tokens import AT_ONCE, encoder, slices
 
 MAGIC, VERSION = b"TPLN", 1
 HEAD = struct.Struct("<4sIIIIQQQ")
@@ -133,7 +133,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, planes: str = "
             store.move(unnamed, name)
             return pa.RecordBatch.from_pydict({"part": [part], "first": [before], "n_ids": [len(row)], "n_docs": [len(names)], "path": [f"{folder}/{name.rpartition('/')[2]}"]})
 
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             for doc, x in zip(batch.column(0).to_pylist(), own.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 names.append(doc), counts.append(len(x) // 4 + 1), ids.extend((x, end))
                 held += counts[-1]

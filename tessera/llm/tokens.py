@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -25,8 +26,8 @@ from .common import id_text
 WORDS, FORMS, LONG = 1_200_000, 400_000, 100
 #: Words that the library is asked for in one string, a line each.
 LINES = 64
-#: Rows that are encoded at a time.
-SLICE = 256
+#: Rows of a slice; rows and characters that are encoded at a time (a longer text by itself).
+SLICE, AT_ONCE, CHARACTERS = 256, 1024, 4 << 20
 #: White space other than single spaces and line ends between words.
 _OTHER = re.compile(r"[\t\r\v\f\0\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
@@ -106,16 +107,32 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out, begin, size = [], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size > CHARACTERS and k > begin:
+                out += self._encode(texts[begin:k])
+                begin, size = k, len(t)
+        return out + self._encode(texts[begin:])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) - len(self.forms) + len(self.pieces) + len(self.marks) > self.words:
             self._forget()
         if len(self.forms) > self.most_forms:
             for w in self.forms:
                 del self.known[w]
             self.forms = []
-        cut = [(" " + t.replace("\n", "\0\n").replace(" ", "\0")).split("\0") if _plain(t) else None for t in texts]
-        long = self._learn(set().union(*(c for c in cut if c is not None)).difference(self.known))
-        known = self.known.__getitem__
-        out = [self._by_piece(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut, strict=True)]
+        plain = [_plain(t) for t in texts]
+        # a slice's words are told apart by Arrow: here each distinct one is looked up once
+        cut = pc.split_pattern(pa.array([" " + t.replace("\n", "\0\n").replace(" ", "\0") for t, p in zip(texts, plain, strict=True) if p], pa.large_string()), "\0")
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        long = self._learn({w for w in distinct if w not in self.known})
+        ids = pa.array(map(self.known.__getitem__, distinct), pa.large_binary(), size=len(distinct)).take(words.indices)
+        ends = np.append(0, np.cumsum(pc.binary_length(ids).to_numpy()))[cut.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        joined = (bytes(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False))
+        out = [next(joined) if p else self._by_piece(t) for t, p in zip(texts, plain, strict=True)]
         for w in long:
             self.known.pop(w, None)
         self.marks = self.marks if sum(map(len, self.marks)) < 1 << 20 else {"": b""}
@@ -134,6 +151,11 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Gives back what the worker keeps for texts: tasks that encode none need its memory for other things."""
+    _encoders.clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
@@ -158,8 +180,9 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, id_c
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier stages had in this worker
         part, before, own = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             ids = [x + end for x in own.encode([t or "" for t in batch.column(1).to_pylist()])]
             n = np.array([len(x) // 4 for x in ids], "i8")
             starts = before + np.cumsum(n) - n

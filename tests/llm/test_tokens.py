@@ -123,3 +123,28 @@ def test_pieces(spark):
     own = pieces.model(PIECE)
     assert [[i for ids in own.segment(own.cut(t or "")) for i in ids] for t in TEXTS] == [model.encode(t or "") for t in TEXTS]
     assert pieces.encode(rows(spark).filter("false"), PIECE).count() == 0
+
+
+def test_a_distinct_word_is_looked_up_once(monkeypatch):
+    """However often a slice has it; texts beyond the characters that are encoded at a time give the same ids."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    own, texts = tokens.WordEncoder(BPE), ["the word, the\nword again", "", "  odd  spaces ", "the word"]
+    want, texts = [library_ids(t) for t in texts] * 100, texts * 100
+    own.encode(texts)
+    own.known = Counted(own.known)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want and own.known.asked < 20
+    monkeypatch.setattr(tokens, "CHARACTERS", 30)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+
+
+def test_a_worker_gives_its_words_back():
+    tokens.encoder(BPE).encode(["some words"])
+    tokens.forget()
+    assert not tokens._encoders
