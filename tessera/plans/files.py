@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.paths import last, rendered
 from tessera.operators import fileplan as P
+from tessera.sources.staging import released, staged
 from tessera.sources.tables import table
 
 from .registry import query
@@ -30,50 +31,60 @@ lists as (select root, folder || '/' || regexp_replace(folder, '^.*/', '') || '.
 
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(files, texts), both made row by row of one staged table, which has a game with all its discs in a row."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     key = F.col("o_orderkey")
     name = F.concat(F.lit("g"), key.cast("string"))
     folder = F.when(key % 3 == 0, "").when(key % 3 == 1, F.concat(F.lit("dump/"), (key % 400).cast("string"), F.lit("/"))).otherwise(F.concat(name, F.lit("/")))
     system = F.array(*map(F.lit, SYSTEMS))[(F.col("o_custkey") % 3).cast("int")]
     g = o.select(key.alias("o"), (F.col("o_custkey") % 20).alias("root"), (key % 8).alias("k"), name.alias("name"), F.concat(system, F.lit("/"), folder).alias("base"))
-    lines = li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).distinct().join(g, "o")
-    lines = lines.withColumn("stem", F.concat("name", F.lit(" (Disc "), F.col("n").cast("string"), F.lit(")")))
-    end = F.when(F.col("k") % 4 == 0, ".bin").when(F.col("k") % 4 == 3, ".zip").otherwise(".chd")
-    discs = lines.select("root", F.concat("base", "stem", end).alias("rel"))
-    sheets = lines.filter("k % 4 = 0").select("root", F.concat("base", "stem", F.lit(".cue")).alias("rel"), F.concat(F.lit('FILE "'), "stem", F.lit('.bin" BINARY\n  TRACK 01 MODE2/2352\n')).alias("text"))
-    named = lines.filter("k in (0, 2, 6)").groupBy("root", "base", "k", "name").agg(F.sort_array(F.collect_list(F.concat("stem", F.when(F.col("k") == 0, ".cue").otherwise(".chd")))).alias("names"))
-    lists = named.select("root", F.concat("base", F.when(F.col("k") == 0, F.concat(F.lit("a"), F.expr("substring(name, 2)"))).otherwise(F.col("name")), F.lit(".m3u")).alias("rel"), F.concat(F.lit("#EXTM3U\n"), F.array_join("names", "\n")).alias("text"))
-    notes = lines.filter("k % 4 = 3").select("root", F.concat("base", "name", F.lit(".txt")).alias("rel")).distinct()
-    texts = sheets.unionByName(lists)
-    return discs.unionByName(texts.select("root", "rel")).unionByName(notes), texts
-
-
-def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    # lines are dealt by order once, for telling discs apart and for the join
+    discs = li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).repartition("o").groupBy("o").agg(F.sort_array(F.collect_set(F.struct("n"))).alias("discs"))
+    stem = lambda d: F.concat("name", F.lit(" (Disc "), d["n"].cast("string"), F.lit(")"))
+    games = staged(discs.join(g, "o").select("root", "base", "k", "name", F.filter(F.transform("discs", stem), lambda s: s.isNotNull()).alias("stems")), "games")
+    k, none = F.col("k"), F.array().cast("array<string>")
+    end = F.when(k % 4 == 0, ".bin").when(k % 4 == 3, ".zip").otherwise(".chd")
+    listed = F.concat("base", F.when(k == 0, F.concat(F.lit("a"), F.expr("substring(name, 2)"))).otherwise(F.col("name")), F.lit(".m3u"))
+    of = lambda tail: F.transform("stems", lambda s: F.concat("base", s, tail))
+    kinds = [of(end), F.when(k % 4 == 0, of(F.lit(".cue"))).otherwise(none), F.when(k.isin(0, 2, 6), F.array(listed)).otherwise(none), F.when(k % 4 == 3, F.array(F.concat("base", "name", F.lit(".txt")))).otherwise(none)]
+    files = games.select("root", F.explode(F.concat(*kinds)).alias("rel"))
+    sheet = lambda s: F.struct(F.concat("base", s, F.lit(".cue")).alias("rel"), F.concat(F.lit('FILE "'), s, F.lit('.bin" BINARY\n  TRACK 01 MODE2/2352\n')).alias("text"))
+    sheets = games.filter("k % 4 = 0").select("root", F.explode(F.transform("stems", sheet)).alias("s")).select("root", "s.*")
+    names = F.transform("stems", lambda s: F.concat(s, F.when(k == 0, ".cue").otherwise(".chd")))
+    lists = games.filter("k in (0, 2, 6)").select("root", listed.alias("rel"), F.concat(F.lit("#EXTM3U\n"), F.array_join(F.sort_array(names), "\n")).alias("text"))
+    return files, sheets.unionByName(lists)
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(moves, kept, files) of all games."""
     files, texts = _files(spark, sf_dir)
     primary = F.col("primary")
     game = F.regexp_extract(last(primary), r"^([a-z0-9]+)", 1)
     place = rendered("{system}/{game}/{filename}", {"system": F.substring_index(primary, "/", 1), "game": game, "filename": last(primary)})
-    return P.targets(P.units(files, texts), place, GAMES), files
+    units = P.units(files, texts)
+    done, kept = P.planned(P.targets(units, place, GAMES))
+    released(units)
+    return done, kept, files
 
 
 @query(f"with {_FILES_SQL} select root, src, dst, 0 as step, 'move' as status from moved")
 def file_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.moves(_placed(spark, sf_dir)[0])
+    return _planned(spark, sf_dir)[0]
 
 
 @query(f"with {_FILES_SQL} select root, dst, content from lists")
 def file_play_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, files = _placed(spark, sf_dir)
-    return P.play_lists(P.moves(placed), files)
+    done, _, files = _planned(spark, sf_dir)
+    return P.play_lists(done, files)
 
 
 @query(f"""with {_FILES_SQL}, kept as (select root, regexp_replace(rel, '/[^/]*$', '') as at from p where dst is null or dst = rel union select root, regexp_replace(dst, '/[^/]*$', '') from moved union select root, regexp_replace(dst, '/[^/]*$', '') from lists),
 src as (select distinct root, regexp_replace(src, '/[^/]*$', '') as folder from moved)
 select root, folder, len(string_split(folder, '/')) as depth from src where not exists (select 1 from kept where kept.root = src.root and (kept.at = src.folder or starts_with(kept.at, src.folder || '/')))""")
 def file_emptied_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, files = _placed(spark, sf_dir)
-    done = P.moves(placed)
-    return P.emptied(done, files, P.play_lists(done, files))
+    done, kept, _ = _planned(spark, sf_dir)
+    # a list is only written beside discs that have come, so the folder that it is in is alive by them
+    return P.vacated(done, kept, done.limit(0))
 
 
 @query("""select l_orderkey, string_agg('d' || l_linenumber || '.bin:' || case when l_quantity > 48 then 'missing' else cast(cast(floor(l_extendedprice) as bigint) as varchar) || ':' || cast(epoch(l_shipdate) as bigint) end, '|' order by 'x' || l_suppkey || '/d' || l_linenumber || '.bin',

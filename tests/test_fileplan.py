@@ -1,5 +1,6 @@
 """Plans of file layouts against a file tree walked in Python."""
 
+import os
 import random
 
 import pytest
@@ -103,3 +104,39 @@ def test_nothing_to_do(spark):
     none = frame(spark, [], "root int, rel string")
     placed = P.targets(P.units(none, frame(spark, [], "root int, rel string, text string")), F.col("primary"), ["chd"])
     assert P.moves(placed).count() == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_plans_deal_files_few_times(spark):
+    """What a plan returns reads staged rows as they are where no file waits for another; emptied folders are dealt once, by folder."""
+    files = frame(spark, [(1, f) for f in ("in/a.cue", "in/a.bin", "in/deep/x/b.chd", "keep/note.txt")], "root int, rel string")
+    texts = frame(spark, [(1, "in/a.cue", 'FILE "a.bin" BINARY'), (1, "in/lost.cue", 'FILE "deep/x/b.chd" BINARY')], "root int, rel string, text string")
+    placed = P.targets(P.units(files, texts), F.concat(F.lit("out/"), "primary"), ["chd"])
+    done, kept = P.planned(placed)
+    assert exchanges(done) == 0 and exchanges(kept) == 0 and exchanges(P.vacated(done, kept, done.limit(0))) == 1
+    assert sorted(map(tuple, done.collect())) == [(1, "in/a.bin", "out/in/a.bin", 0, "move"), (1, "in/a.cue", "out/in/a.cue", 0, "move"), (1, "in/deep/x/b.chd", "out/in/deep/x/b.chd", 0, "move")]
+    assert [tuple(r) for r in kept.collect()] == [(1, "keep/note.txt")]
+    assert sorted(map(tuple, P.vacated(done, kept, done.limit(0)).collect())) == [(1, "in", 1), (1, "in/deep/x", 3)]
+
+
+def test_refused_files_keep_their_folders(spark):
+    placed = frame(spark, [(1, "a/x", "c/z"), (1, "b/y", "c/z"), (2, "b/y", "c/z"), (2, "d/q", "e/r"), (2, "e/r", None)], "root int, rel string, dst string")
+    done, kept = P.planned(placed)
+    assert sorted((r.root, r.src, r.status) for r in done.collect()) == [(1, "a/x", "move"), (1, "b/y", "taken"), (2, "b/y", "move"), (2, "d/q", "taken")]
+    assert sorted(map(tuple, kept.collect())) == [(1, "b/y"), (2, "d/q"), (2, "e/r")]
+    assert sorted(map(tuple, P.vacated(done, kept, done.limit(0)).collect())) == [(1, "a", 1), (2, "b", 1)]
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    import glob
+
+    from tessera.sources.staging import staged
+
+    left = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*", recursive=True))
+    before = left()
+    assert staged(spark.range(20000).selectExpr("id % 7000 as k").groupBy("k").count(), "counts").count() == 7000
+    # those of the count itself are one row a task
+    assert sum(os.path.getsize(f) for f in left() - before if f.endswith(".data")) < 10000
