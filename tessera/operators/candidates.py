@@ -6,6 +6,8 @@ to a kind follows by a join. Long posting lists are split, and a probe goes to e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import gate
@@ -14,6 +16,8 @@ from tessera.functions import gate
 PIECE = 1024
 #: Rows of one kind in a list of its members.
 MEMBERS = 1024
+#: Rows of a block in a piece of it, where all of them meet all.
+ROWS = 4096
 
 
 def members(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -140,18 +144,22 @@ def sharing(rows: DataFrame, id: str, block: list[str], key: Column, least: int)
     return all_members(pairs.join(side("k", "a"), ["block", "k"]).join(side("other", "b"), ["block", "other"]), "shared")
 
 
-def judged_pairs(rows: DataFrame, id: str, block: list[str], title: Column) -> DataFrame:
+def judged_pairs(rows: DataFrame, id: str, block: list[str], title: Column, shown: Callable[[Column], Column] = lambda score: score) -> DataFrame:
     """(a, b, ok, score) for all rows of a block with all, themselves included, accepted or not, where both titles have words.
 
-    The gate judges kinds, each pair once, and their rows follow. A block's kinds are dealt to a task for each PIECE of them. Rows
-    with a null in `block` have no pair.
+    The gate judges kinds, each pair once, and their rows follow; shown: what is made of a score, once for kinds too. A block
+    is cut into pieces of some PIECE lists of rows of a kind and some ROWS rows, and each two pieces are dealt by themselves, to as many
+    tasks as there are shuffle partitions: lists are small, and rows many. Rows with a null in `block` have no pair.
     """
     f = gate.features(title)
     each = rows.dropna(subset=block).select(F.col(id).alias("id"), F.struct(*block).alias("block"), f.alias("f")).filter("size(f.tokens) > 0")
     lists = members(each, ["block", "f"])
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    sized = lists.join(lists.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block")
-    asking = sized.select("block", F.col("f").alias("f_a"), F.col("ids").alias("ids_a"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-    asked = sized.select("block", F.col("f").alias("f_b"), F.col("ids").alias("ids_b"), F.pmod(F.xxhash64("f", "part"), pieces).cast("int").alias("piece"))
-    judged = asking.join(asked, ["block", "piece"]).select("ids_a", "ids_b", gate.judged_features(F.col("f_a"), F.col("f_b")).alias("j"))
-    return all_members(judged.select("ids_a", "ids_b", "j.ok", "j.score"), "ok", "score")
+    sizes = lists.groupBy("block").agg(F.count(F.lit(1)).alias("lists"), F.sum(F.size("ids")).alias("rows"))
+    pieces = F.ceil(F.greatest(F.col("lists") / PIECE, F.col("rows") / ROWS)).cast("int")
+    sized = lists.join(sizes, "block").select("block", "f", "ids", pieces.alias("pieces"), F.pmod(F.xxhash64("f", "part"), pieces).cast("int").alias("piece"))
+    each_piece = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    cell, tasks = ["block", "piece_a", "piece_b"], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asking = sized.select("block", F.col("f").alias("f_a"), F.col("ids").alias("ids_a"), F.col("piece").alias("piece_a"), each_piece.alias("piece_b")).repartition(tasks, *cell)
+    asked = sized.select("block", F.col("f").alias("f_b"), F.col("ids").alias("ids_b"), each_piece.alias("piece_a"), F.col("piece").alias("piece_b")).repartition(tasks, *cell)
+    judged = asking.join(asked, cell).select("ids_a", "ids_b", gate.judged_features(F.col("f_a"), F.col("f_b")).alias("j"))
+    return all_members(judged.select("ids_a", "ids_b", "j.ok", shown(F.col("j.score")).alias("score")), "ok", "score")

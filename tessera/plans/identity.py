@@ -85,8 +85,7 @@ def gate_sql(pairs: str, owned: str, candidate: str) -> str:
 {gate_sql('pairs', 't', 'u')} select a, b, ok, cast(round(score * 1000000) as bigint) as score from q3""")
 def gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the gate says of every title and every other of its brand and size, refusals too."""
-    judged = judged_pairs(A.titles(spark, sf_dir), "p_partkey", ["p_brand", "p_size"], F.col("title_raw"))
-    return judged.select("a", "b", "ok", F.round(F.col("score") * 1000000).cast("long").alias("score"))
+    return judged_pairs(A.titles(spark, sf_dir), "p_partkey", ["p_brand", "p_size"], F.col("title_raw"), lambda score: F.round(score * 1000000).cast("long"))
 
 
 @query(f"""with {A.TITLES_SQL}, pairs as (select a.p_partkey as a, b.p_partkey as b, a.title_raw as t, b.title_raw as u from titles a join titles b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey <> b.p_partkey),

@@ -118,3 +118,16 @@ def test_gate_scores_has_refusals(spark, tmp_path):
     got = {(r.a, r.b): (r.ok, r.score) for r in QUERIES["gate_scores"](spark, str(tmp_path)).collect()}
     assert set(got) == {(x, y) for x in (0, 16, 80) for y in (0, 16, 80)} | {(32, 32)}
     assert got[0, 80] == got[16, 16] == (True, 2000000) and got[0, 16] == (False, 0)
+
+
+@pytest.mark.parametrize("rows,members", [(4096, 1024), (7, 2)])
+def test_judged_pairs_are_dealt(spark, monkeypatch, rows, members):
+    """A few kinds of many rows make their pairs in several tasks, each pair once, with the score as it is shown."""
+    monkeypatch.setattr(C, "ROWS", rows)
+    monkeypatch.setattr(C, "MEMBERS", members)
+    frame = spark.createDataFrame([(i, f"b{i % 8}", "Star Wars" if i % 16 < 8 else "Doom") for i in range(320)], "id long, block string, title string")
+    judged = C.judged_pairs(frame, "id", ["block"], F.col("title"), lambda score: (score * 10).cast("int"))
+    got = judged.withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) == 8 * 40 * 40
+    assert all(r.ok == (r.a % 16 == r.b % 16) and r.score == (20 if r.ok else 0) for r in got)
+    assert len({r.task for r in got}) > 1
