@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.eras import generation, impossible, last_year
@@ -37,6 +39,20 @@ def gated(owned: DataFrame, candidates: DataFrame, block: str, gate: Column, id_
     return best.select(id_owned, (-F.col("_best.col2")).alias(id_candidate), F.col("_best.score").alias("score"))
 
 
+def gated_kinds(owned: DataFrame, candidates: DataFrame, block: str, title: str, features: Callable[[Column], Column], gate: Callable[[Column, Column], Column], id_owned: str, id_candidate: str) -> DataFrame:
+    """As gated(), for titles whose rows are alike in block and title: of such candidates only the smallest id can win, and such owned rows have one answer.
+
+    owned: id_owned, block, title; candidates: id_candidate, block, title; gate: struct(ok, score) of an owned title's features and a
+    candidate's. Features are made once for a title and block, and only different titles are judged, so copies of rows add to the work by their number and not by its square. A null block has no match.
+    """
+    asked = owned.select(block, F.col(title).alias("_t")).distinct().withColumn("_f", features(F.col("_t")))
+    firsts = candidates.groupBy(block, F.col(title).alias("_u")).agg(F.min(id_candidate).alias("_first")).select(block, "_first", features(F.col("_u")).alias("_g"))
+    judged = asked.join(firsts, block).select(block, "_t", "_first", gate(F.col("_f"), F.col("_g")).alias("_gate"))
+    best = judged.groupBy(block, "_t").agg(F.max(F.when(F.col("_gate.ok"), F.struct(F.col("_gate.score"), -F.col("_first")))).alias("_best")).filter("_best is not null")
+    rows = owned.join(best.withColumnRenamed("_t", title), [block, title])
+    return rows.select(id_owned, (-F.col("_best.col2")).alias(id_candidate), F.col("_best.score").alias("score"))
+
+
 def unique_or_conflict(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys with one distinct value keep it; those with more are in conflict and have none."""
     both = rows.groupBy(*keys).agg(F.min(value).alias(value), F.countDistinct(value).alias("n"))

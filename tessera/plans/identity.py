@@ -99,10 +99,10 @@ def gate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {A.TITLES_SQL}, pairs as (select a.p_partkey as a, b.p_partkey as b, a.title_raw as t, b.title_raw as u from titles a join titles b on a.p_name = b.p_name and a.p_partkey % 2 = 0 and b.p_partkey % 2 = 1 and a.p_brand = b.p_brand),
 {gate_sql('pairs', 't', 'u')} select a, -max((score, -b))[2] as b, cast(round(max((score, -b))[1] * 1000000) as bigint) as score from q3 where ok group by a""")
 def gated_match_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = A.titles(spark, sf_dir).withColumn("block", F.struct("p_name", "p_brand"))
-    owned = t.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("a"), gate.features(F.col("title_raw")).alias("t"), "block")
-    candidates = t.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("b"), gate.features(F.col("title_raw")).alias("u"), "block")
-    best = I.gated(owned, candidates, "block", gate.judged_features(F.col("t"), F.col("u")), "a", "b")
+    t = A.titles(spark, sf_dir).dropna(subset=["p_name", "p_brand"]).withColumn("block", F.struct("p_name", "p_brand"))
+    owned = t.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("a"), "title_raw", "block")
+    candidates = t.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("b"), "title_raw", "block")
+    best = I.gated_kinds(owned, candidates, "block", "title_raw", gate.features, gate.judged_features, "a", "b")
     return best.select("a", "b", F.round(F.col("score") * 1000000).cast("long").alias("score"))
 
 

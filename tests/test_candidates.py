@@ -131,3 +131,29 @@ def test_judged_pairs_are_dealt(spark, monkeypatch, rows, members):
     assert len(got) == len({(r.a, r.b) for r in got}) == 8 * 40 * 40
     assert all(r.ok == (r.a % 16 == r.b % 16) and r.score == (20 if r.ok else 0) for r in got)
     assert len({r.task for r in got}) > 1
+
+
+def test_gated_kinds_are_judged_once(spark):
+    """Copies of rows don't form pairs: each owned row has the answer that comparing all with all gives, of judgments of titles alone."""
+    from tessera.operators import identity as I
+
+    data = [(i, b, t) for i, b, t in titles(150, 4) if t] + [(1000 + i, "a", t) for i in range(600) for t in ["Star Wars II" if i % 4 < 2 else "Star Wars"]] + [(5000, None, "Doom"), (5001, None, "Doom"), (5002, "b", "Doom"), (5003, "b", "Quake")]
+    rows = spark.createDataFrame(data, "id long, block string, title string")
+    owned, others = rows.filter("id % 2 = 0").withColumnRenamed("id", "a"), rows.filter("id % 2 = 1").withColumnRenamed("id", "b")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(ok):
+        seen.add(1)
+        return ok
+
+    count = F.udf(counted, "boolean")
+
+    def judged(f, g):
+        j = gate.judged_features(f, g)
+        return F.when(j.isNotNull(), F.struct(count(j["ok"]).alias("ok"), j["score"].alias("score")))
+
+    got = {r.a: (r.b, r.score) for r in I.gated_kinds(owned, others, "block", "title", gate.features, judged, "a", "b").collect()}
+    featured = lambda of, n: of.select(F.col(n), "block", gate.features(F.col("title")).alias(f"f_{n}"))
+    want = {r.a: (r.b, r.score) for r in I.gated(featured(owned, "a"), featured(others, "b"), "block", gate.judged_features(F.col("f_a"), F.col("f_b")), "a", "b").collect()}
+    assert got == want and len(got) > 300 and 5000 not in got
+    assert 0 < seen.value < 50_000
