@@ -140,3 +140,12 @@ def test_staged_tables_leave_no_shuffle_files(spark):
     assert staged(spark.range(20000).selectExpr("id % 7000 as k").groupBy("k").count(), "counts").count() == 7000
     # those of the count itself are one row a task
     assert sum(os.path.getsize(f) for f in left() - before if f.endswith(".data")) < 10000
+
+
+def test_lists_deal_discs_once(spark):
+    """By folder: for telling names apart and for gathering them; the other exchange is of the folders that have a list."""
+    files = frame(spark, [(1, "have/c.m3u"), (1, "in/a.chd")], "root int, rel string")
+    rows = [(1, f"in/{n}", f"{to}/{n}", 0, "move") for to in ("out", "have") for n in ("a.chd", "b.chd")] + [(1, "other/a.chd", "out/a.chd", 0, "move"), (2, "in/a.chd", "out/a.chd", 0, "move")]
+    lists = P.play_lists(frame(spark, rows, "root int, src string, dst string, step int, status string"), files)
+    assert exchanges(lists) == 2
+    assert [tuple(r) for r in lists.collect()] == [(1, "out/out.m3u", "a.chd\nb.chd\n")]
