@@ -65,7 +65,7 @@ def claimed(links: DataFrame, boxes: DataFrame) -> DataFrame | None:
         left = staged(rest.select("root", "container", "member", F.coalesce("unit", "found").alias("unit")), "open")
         released(open_, found, *([before] if before is not None else []))
         open_ = left
-    released(open_)
+    released(open_, found)
     return out
 
 
@@ -130,6 +130,7 @@ def planned(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = staged(ops.filter("waits and not blocked").select(at("src").alias("alias"), at("dst").alias("target")), "waits")
     status = F.when(F.col("blocked"), "taken")
     if links.isEmpty():
+        released(links)
         done = ops.select("root", "src", "dst", F.when(~F.col("blocked"), 0).alias("step"), status.otherwise("move").alias("status"))
     else:
         info = _ordered(links, ops.filter("blocked").select(at("src").alias("target")))

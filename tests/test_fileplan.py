@@ -149,3 +149,16 @@ def test_lists_deal_discs_once(spark):
     lists = P.play_lists(frame(spark, rows, "root int, src string, dst string, step int, status string"), files)
     assert exchanges(lists) == 2
     assert [tuple(r) for r in lists.collect()] == [(1, "out/out.m3u", "a.chd\nb.chd\n")]
+
+
+def test_moves_keep_only_what_they_read(spark):
+    """Links, open containers and units are deleted when the moves are known; the games' rows and the places stay."""
+    from tessera.plans.registry import QUERIES
+    from tessera.sources.staging import shared_dir
+
+    here = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(here))
+    plan = QUERIES["file_moves"](spark, "/root/testdata/sf0.001")
+    assert exchanges(plan) == 0 and {(r.step, r.status) for r in plan.select("step", "status").distinct().collect()} == {(0, "move")}
+    left = {name.rpartition("-")[0] for name in set(os.listdir(here)) - before}
+    assert "places" in left and not left & {"links", "hangs", "open", "found", "claimed", "units", "multi"}
